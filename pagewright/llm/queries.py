@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mpeg, packing, tokencount, urlfilter, warc
+from . import bpe, langid, mpeg, packing, tokencount, toxicity, urlfilter, warc
+from .common import id_crc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def _fold(mod: int, held: int) -> Column:
+    """Whether a document belongs to the fold that is never learned from; false for a null id."""
+    return F.coalesce(F.pmod(id_crc(), F.lit(mod)) == held, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs, train=~_fold(4, 2))
+    return langid.identify(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -43,6 +55,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, _read(spark, sf_dir, "labels"), train=~_fold(5, 0))
+    return toxicity.score(docs, lexicon).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted")
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
