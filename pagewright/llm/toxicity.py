@@ -117,7 +117,7 @@ def _entries(docs: list[tuple[list[str], int]], least: float, times: float) -> d
                     if seen[1][e] >= 4 * max(1, seen[0][e]):
                         around.setdefault(e, set()).add((one, two))
     bad, good = seen[1], seen[0]
-    few = max(4.0, least * n[1])
+    few = max(5.0, least * n[1])
     passing = {
         e: c
         for e, c in bad.items()
