@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import map_rows, prepare, text_of
-from .pretokens import LONGEST_KEPT
 
 #: Stands for the end of a word while matching; the byte alphabet has no such character.
 WORD_END = "\n"
+#: Longer words are not remembered: they hardly repeat and would fill the table.
+LONGEST_KEPT = 48
 
 
 def byte_alphabet() -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored, text_of, whole_partition
-from .pretokens import PreTokens
+from .pretokens import FastIds
 
 #: A pattern: the lengths that share one sequence, and how many sequences look like that.
 Pattern = tuple[tuple[int, ...], int]
@@ -153,13 +153,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     )
 
 
-def _little_endian(encoding) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in encoding.ids)
-
-
 @lru_cache(maxsize=1)
-def _ids(path: str) -> PreTokens:
-    return PreTokens(path, _little_endian, keep=250_000)
+def _ids(path: str) -> FastIds:
+    return FastIds(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -190,16 +186,14 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *(["ids"] if with_ids else [])]
 
     def work(batches):
-        table = _ids(path)
+        encoder = _ids(path)
         task, seen = TaskContext.get().partitionId(), {}
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 part = big.slice(at, 256).to_pydict()
-                split = [table.split(t) for t in part["text"]]
-                ids = table.values(set().union(*split))
                 out: dict[str, list] = {k: [] for k in names}
-                for doc, words in zip(part["doc_id"], split):
-                    data = b"".join([ids[w] for w in words]) + end
+                for doc, text in zip(part["doc_id"], part["text"]):
+                    data = encoder.ids(text).tobytes() + end
                     for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                         own = data[4 * start : 4 * (start + length)]
                         nth = seen.get(length, 0)

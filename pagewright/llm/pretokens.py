@@ -1,36 +1,83 @@
-"""Pre-tokens of the byte-level vocabulary, and what a worker remembers about them.
+"""The byte-level vocabulary: its pre-tokens, and ids exactly as the tokenizer library gives them.
 
 A byte-level BPE never merges across pre-tokens, so whatever is computed for one pre-token holds
-wherever it occurs.  :class:`PreTokens` splits texts exactly as the tokenizer library does and keeps
-one value for each distinct pre-token (its ids or its number of pieces).
+wherever it occurs.  :class:`PreTokens` splits texts as the library does and keeps one value for each
+distinct pre-token; :class:`FastIds` encodes whole texts.  Both run the vocabulary's merges on a faster
+encoder, and go back to the library for texts with characters that the two class differently.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import public_tokenizers
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
+from .bpe import LONGEST_KEPT, byte_alphabet
+
 #: Fixed value: below this code point the pattern engine and the library put every character into
 #: the same classes (checked for all code points); newer characters are compared one by one.
 FIRST_ODD = "՘"
-#: Longer pre-tokens are not remembered: they hardly repeat and would fill the table.
-LONGEST_KEPT = 48
+
+
+def rank_encoder(path: str) -> tiktoken.Encoding:
+    """An encoder with the vocabulary file's own tokens; in it a token's id is also the rank of its merge."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+    return tiktoken.Encoding(
+        "own",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items()},
+        special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]},
+    )
+
+
+class FastIds:
+    """Ids of whole texts, as the library's ``encode(text, add_special_tokens=False)``."""
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.encoder = rank_encoder(path)
+        self.odd = regex.compile(f"[^\\x00-{chr(ord(FIRST_ODD) - 1)}]").search
+        self.agreed: dict[str, bool] = {}
+
+    def _agrees(self, char: str) -> bool:
+        known = self.agreed.get(char)
+        if known is None:
+            probe = f"a{char}{char}1 {char} !{char}"
+            known = self.encoder.encode_ordinary(probe) == self.library.encode(probe, add_special_tokens=False).ids
+            self.agreed[char] = known
+        return known
+
+    def ids(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit ids."""
+        if not self.odd(text) or all(self._agrees(c) for c in set(text) if c >= FIRST_ODD):
+            try:
+                return self.encoder.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except (ValueError, RuntimeError):  # the encoder's pattern engine gives up on extreme runs
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class PreTokens:
     """Splits texts into pre-tokens and maps each distinct pre-token to a value.
 
-    ``value`` turns one library encoding into the value to remember.  ``keep`` bounds the table: when
+    ``value`` turns the ids of one pre-token into the value to remember.  ``keep`` bounds the table: when
     it is full it is emptied, which costs time but never changes a result.
     """
 
-    def __init__(self, path: str, value: Callable[[object], object], keep: int = 300_000):
+    def __init__(self, path: str, value: Callable[[list[int]], object], keep: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.encoder = rank_encoder(path)
         self.value = value
         self.keep = keep
         self.table: dict[str, object] = {}
@@ -78,8 +125,8 @@ class PreTokens:
         missing = [w for w in wanted if w not in table]
         if not missing:
             return table
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        values = list(map(self.value, found))
+        encode = self.encoder.encode
+        values = [self.value(encode(w, allowed_special="all")) for w in missing]
         if max(map(len, missing)) <= LONGEST_KEPT:
             table.update(zip(missing, values))
             return table
