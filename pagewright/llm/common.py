@@ -65,6 +65,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, codec))
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` (a stored table of a few narrow columns) marked for broadcast if it has at most ``most`` rows.
+
+    Beyond that the join shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column with null read as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

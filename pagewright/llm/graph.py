@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, prepare, write_table, whole_partition
+from .common import drop_table, prepare, stored, whole_partition, write_table
 
 
 def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,17 +27,23 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def forest(edges: DataFrame) -> DataFrame:
-    """Each task's edges replaced by stars with the same components: at most one edge for each node."""
+    """Each task's edges replaced by stars with the same components: at most one row for each node.
+
+    A node that occurs only in loops keeps one loop.
+    """
 
     def work(batches):
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        loops = np.empty(0, np.int64)
         for batch in batches:
-            a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
-            b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
-            nodes, low = smallest_reachable(a, b)
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            loops = np.unique(np.concatenate([loops, x[x == y]]))
+            nodes, low = smallest_reachable(np.concatenate([a, x[x != y]]), np.concatenate([b, y[x != y]]))
             keep = nodes != low
             a, b = nodes[keep], low[keep]
-        yield {"a": a, "b": b}
+        loops = np.setdiff1d(loops, np.concatenate([a, b]))
+        yield {"a": np.concatenate([a, loops]), "b": np.concatenate([b, loops])}
 
     return whole_partition(edges, work, "a long, b long")
 
@@ -66,13 +72,13 @@ def connected_components(edges: DataFrame, one_task: int = 2_000_000) -> DataFra
     prepare(edges.sparkSession)
     spark = edges.sparkSession
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
-    plain = edges.select(a.alias("a"), b.alias("b")).dropna()
-    loops = plain.filter(F.col("a") == F.col("b")).select("a").distinct()
-    path = write_table(forest(plain.filter(F.col("a") != F.col("b"))), "edges")
-    loop_path = write_table(loops, "loops")
-    state = None
+    # The edges are read once: whatever they were computed by does not run again.
+    path = write_table(forest(edges.select(a.alias("a"), b.alias("b")).dropna()), "edges")
+    first = spark.read.schema("a long, b long").parquet(path)
+    loops = first.filter("a = b").select(F.col("a").alias("node"))
+    kept, state = path, None
     while True:
-        now = spark.read.schema("a long, b long").parquet(path)
+        now = spark.read.schema("a long, b long").parquet(path).filter("a <> b")
         n, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n <= one_task:
             stars = forest(now.coalesce(1)) if n else now
@@ -82,15 +88,11 @@ def connected_components(edges: DataFrame, one_task: int = 2_000_000) -> DataFra
             break
         state = (n, mark)
         after = write_table(_small_star(_large_star(now)), "edges")
-        drop_table(spark, path)
+        if path != kept:
+            drop_table(spark, path)
         path = after
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = found.select(F.col("component").alias("node")).union(
-        spark.read.schema("a long").parquet(loop_path).select(F.col("a").alias("node"))
-    )
-    # A node has one row at most among the stars; roots and loops that are no such node stand for themselves.
-    return (
-        found.union(roots.select("node", F.col("node").alias("component")))
-        .groupBy("node")
-        .agg(F.min("component").alias("component"))
-    )
+    # A node has one row at most among the stars; roots and lone loops stand for themselves.
+    roots = found.select(F.col("component").alias("node")).union(loops)
+    every = found.union(roots.select("node", F.col("node").alias("component")))
+    return stored(every.groupBy("node").agg(F.min("component").alias("component")), "components")

@@ -1,18 +1,21 @@
 """Exact Jaccard similarity join of documents on word shingles, as a join in a metric space.
 
-The Jaccard distance is a metric.  The join works in four steps, none of which drops a pair:
+The Jaccard distance is a metric.  The join works in five steps:
 
 1.  Equal sets become one class.  Shingles that many classes share get a level by how common they are.
 2.  Pivots and windows.  The one-shingle sets are the pivots.  A set is equally near to all pivots it holds,
     so its order by (level, hash) decides the ties: rare pivots come first.  A set is replicated to the
     first ``n - ceil(t n) + 1`` of its pivots.  That window is what the triangle inequality needs at a
-    similarity of t: two sets that are that near share a pivot inside both windows.  The sets that
-    meet at pivots, transitively, are a region, and no link leaves its region.
-3.  Inside a region its own counts are known, so the windows are taken anew in exact order of rarity, and
+    similarity of t: two sets that are that near share a pivot inside both windows.
+3.  Where sets meet at a pivot, their sketches (one bit of each of 128 minimum hashes) are compared.  Sets of
+    similarity 0.8 differ in 13 bits on average and in more than SKETCH_BITS with a chance below 1e-13; sets
+    that merely share a passage differ in about 60.  Sets that pass form regions, transitively.
+4.  Inside a region its own counts are known, so the windows are taken anew in exact order of rarity, and
     the region falls into smaller regions, recursively.  What does not fall apart is joined by distances
     to a pivot: what lies within the threshold is linked through it, and of the rest only documents whose
-    distances to the pivot differ by no more than the threshold can be linked.
-4.  A region too large for one task is joined in blocks: distances to a few pivots connect its core, and
+    distances to the pivot differ by no more than the threshold can be linked.  Links are decided on the
+    whole sets.
+5.  A region too large for one task is joined in blocks: distances to a few pivots connect its core, and
     the documents outside the core are replicated to all blocks.
 
 The links found span the same components as all links.
@@ -25,16 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_rows, prepare, stored, whole_partition, write_table
+from .common import broadcast_if_small, drop_table, map_rows, prepare, stored, whole_partition, write_table
 from .graph import connected_components, smallest_reachable
 
 #: Shingles gathered in a task before they are counted or combined: bounds its memory.
 CHUNK = 2_000_000
 #: Most shingles that get a level of their own.  A bound of memory; any order of pivots is exact.
 MOST_LEVELS = 400_000
+#: Bits of a sketch in which linked sets may differ.  A set whose sketch is within SKETCH_NEAR bits of another
+#: one at the same pivot of the same chunk is represented by it, which adds as much to the bound.
+SKETCH_BITS, SKETCH_NEAR = 38, 4
+#: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
+MEETING_ROWS, MEETING_GROUP = 100_000, 256
 #: A region with more sets or shingles than this is joined in blocks.
 REGION_SETS, REGION_SHINGLES = 20_000, 8_000_000
 #: Pivots of such a region, and the most shingles that one may have.
@@ -47,6 +55,7 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _STEP = int(_RNG.integers(0, 1 << 62)) * 2 + 1
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+_ORDERS = _RNG.integers(0, 1 << 63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -160,7 +169,7 @@ def _sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
 
     def common(held: list[np.ndarray]) -> dict:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts >= 3
+        many = counts >= 2
         keys, counts = keys[many], counts[many]
         none = [None] * len(keys)
         return {"kind": [1] * len(keys), "doc_id": none, "n": counts, "h1": none, "h2": none, "shingle": _signed(keys)}
@@ -212,29 +221,91 @@ def _levels(counts: DataFrame) -> _Levels:
     return _Levels(keys, rows.column("level").to_numpy().astype(np.uint8))
 
 
+def sketch(shingles: np.ndarray) -> tuple[int, int]:
+    """One bit of the minimum hash in each of 128 orders, as two unsigned numbers."""
+    low = np.full(128, np.iinfo(np.uint64).max)
+    spread = shingles ^ (shingles >> np.uint64(32))
+    for at in range(0, len(spread), 512):
+        np.minimum(low, (spread[at : at + 512, None] * _ORDERS).min(axis=0), out=low)
+    bits = np.packbits((low >> np.uint64(20) & np.uint64(1)).astype(np.uint8))
+    return int.from_bytes(bits[:8].tobytes(), "little"), int.from_bytes(bits[8:].tobytes(), "little")
+
+
+def _node(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """64-bit name of a sketch.  Equal names only put sets into one region, where they are compared whole."""
+    return _signed(_mixed(k1 * _PLACE[1] + _mixed(k2)))
+
+
+def _apart(k1: np.ndarray, k2: np.ndarray, i, j) -> np.ndarray:
+    """Differing bits of sketches i and j."""
+    return np.bitwise_count(k1[i] ^ k1[j]).astype(np.int16) + np.bitwise_count(k2[i] ^ k2[j])
+
+
+def meeting_edges(pivot: np.ndarray, k1: np.ndarray, k2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (by number) of one pivot whose sketches differ in at most ``most`` bits.
+
+    The rows are sorted by pivot.  Pairs that are connected anyway may be missing: small groups are compared
+    whole, in large ones leaders are taken from outside the largest component until all are connected or
+    all have been leaders.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
+    sizes = np.diff(np.append(starts, len(pivot)))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= MEETING_GROUP), sizes))
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(pivot)]
+        at = at[pivot[at] == pivot[at + step]]
+        near = at[_apart(k1, k2, at, at + step) <= most]
+        left.append(near)
+        right.append(near + step)
+    for start, size in zip(starts[sizes > MEETING_GROUP], sizes[sizes > MEETING_GROUP]):
+        open_, part = np.arange(start, start + size), np.arange(size)
+        while len(open_) > 1:
+            labels, place = np.unique(part, return_inverse=True)
+            if len(labels) == 1:
+                break
+            lead = int(np.flatnonzero(place != np.bincount(place).argmax())[0])
+            near = _apart(k1, k2, open_, open_[lead]) <= most
+            left.append(np.full(int(near.sum()) - 1, open_[lead]))
+            right.append(open_[near & (np.arange(len(open_)) != lead)])
+            part[np.isin(part, part[near])] = part[lead]
+            open_, part = np.delete(open_, lead), np.delete(part, lead)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """``kind 0, a = shingle, b = class``: a chunk's first class at each pivot; ``kind 1, a, b``: classes of the
-    chunk that meet at a pivot, as a star around the first."""
+    """Rows of three kinds.  0: ``a = pivot, b, c = sketch`` of a class in whose window the pivot is; of classes
+    of a chunk with almost equal sketches one stands for all.  1: ``a, b``: nodes of a chunk that meet at a
+    pivot.  2: ``a = class, b = node``."""
 
-    def combine(held: list[np.ndarray], names: list[int]) -> dict:
+    def combine(held: list[np.ndarray], marks: list[tuple[int, int]], names: list[int]) -> dict:
+        own = np.array(marks, np.uint64).reshape(-1, 2)
+        node = _node(own[:, 0], own[:, 1])
         pivot = np.concatenate(held)
-        name = np.repeat(np.array(names, np.int64), [len(h) for h in held])
-        order = np.lexsort((name, pivot))
-        pivot, name = pivot[order], name[order]
+        row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        order = np.lexsort((own[row, 1], own[row, 0], pivot))
+        pivot, row = pivot[order], row[order]
+        k1, k2 = own[row, 0], own[row, 1]
+        x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + SKETCH_NEAR)
+        edges = np.unique(np.stack([node[row[x]], node[row[y]]]), axis=1)
+        # A row goes if the first row of its pivot is almost equal to it.
         new = np.concatenate([[True], pivot[1:] != pivot[:-1]])
-        leader = name[new][np.cumsum(new) - 1]
-        meets = leader != name
-        edges = np.unique(np.stack([leader[meets], name[meets]]), axis=1)
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        stays = new | (_apart(k1, k2, np.arange(len(row)), first) > SKETCH_NEAR)
+        n, m, k = int(stays.sum()), edges.shape[1], len(names)
         return {
-            "kind": np.concatenate([np.zeros(int(new.sum()), np.int32), np.ones(edges.shape[1], np.int32)]),
-            "a": np.concatenate([_signed(pivot[new]), edges[0]]),
-            "b": np.concatenate([name[new], edges[1]]),
+            "kind": np.repeat(np.array([0, 1, 2], np.int32), [n, m, k]),
+            "a": np.concatenate([_signed(pivot[stays]), edges[0], np.array(names, np.int64)]),
+            "b": np.concatenate([_signed(k1[stays]), edges[1], node]),
+            "c": np.concatenate([_signed(k2[stays]), np.zeros(m + k, np.int64)]),
         }
 
     def work(batches):
         table: _Levels = levels.value
         seen: set[int] = set()
-        held, names, size = [], [], 0
+        held, marks, names, size = [], [], [], 0
         for _, texts in _text_batches(batches):
             for s in shingle_sets(texts, words):
                 if not len(s):
@@ -244,15 +315,47 @@ def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
                     continue
                 seen.add(h1)
                 held.append(table.first(s, percent))
+                marks.append(sketch(s))
                 names.append(h1)
                 size += len(held[-1])
             if size >= CHUNK:
-                yield combine(held, names)
-                held, names, size = [], [], 0
+                yield combine(held, marks, names)
+                held, marks, names, size = [], [], [], 0
+        if held:
+            yield combine(held, marks, names)
+
+    return whole_partition(docs, work, "kind int, a long, b long, c long")
+
+
+def _meeting_edges(postings: DataFrame) -> DataFrame:
+    """Nodes that meet at a pivot across all chunks: ``a, b``, a forest for each stretch of rows."""
+
+    def work(batches):
+        held, rows = [], 0
+
+        def flush(cols: list[np.ndarray]) -> dict:
+            pivot, k1, k2 = cols
+            x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + SKETCH_NEAR)
+            node = _node(k1, k2)
+            nodes, low = smallest_reachable(node[x], node[y])
+            return {"a": nodes[nodes != low], "b": low[nodes != low]}
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)])
+            rows += batch.num_rows
+            if rows >= MEETING_ROWS:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                last = np.searchsorted(_signed(cols[0]), _signed(cols[0])[-1])  # its pivot may go on
+                if last:
+                    yield flush([c[:last] for c in cols])
+                    held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
+                else:
+                    held = [cols]
         if held:
-            yield combine(held, names)
+            yield flush([np.concatenate(c) for c in zip(*held)])
 
-    return whole_partition(docs, work, "kind int, a long, b long")
+    dealt = postings.select("a", "b", "c").repartition("a").sortWithinPartitions("a")
+    return whole_partition(dealt, work, "a long, b long")
 
 
 def _linked(p: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -466,13 +569,17 @@ def similar_documents(
     levels = spark.sparkContext.broadcast(_levels(first.filter("kind = 1").select("shingle", "n")))
 
     met = stored(_meetings(rows, levels, words, percent), "meetings")
-    leader = F.min("b").over(Window.partitionBy("a"))
-    edges = met.filter("kind = 0").select(leader.alias("a"), "b").filter("a <> b").union(met.filter("kind = 1").select("a", "b"))
-    regions = connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("region"))
+    edges = _meeting_edges(met.filter("kind = 0")).union(met.filter("kind = 1").select("a", "b"))
+    parts = connected_components(edges).withColumnRenamed("node", "b")
+    nodes = met.filter("kind = 2").select(F.col("a").alias("h1"), "b").distinct()
+    regions = nodes.join(parts, "b", "left").select("h1", F.coalesce("component", "b").alias("region"))
 
     classes = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
-    wanted = classes.join(regions, "h1").filter(F.col("doc").isNotNull())
-    sets = stored(_region_sets(rows.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id"), words), "region-sets")
+    placed = stored(classes.join(regions, "h1").filter(F.col("doc").isNotNull()), "class-regions")
+    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("region")
+    wanted = stored(placed.join(shared, "region").withColumnRenamed("doc", "doc_id"), "region-documents")
+    # Few documents are in a region; as long as their ids are few, the texts are filtered without a shuffle.
+    sets = stored(_region_sets(rows.join(broadcast_if_small(wanted), "doc_id"), words), "region-sets")
 
     shape = sets.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     large = shape.filter((F.col("sets") > region_sets) | (F.col("shingles") > region_shingles)).withColumn(
@@ -523,5 +630,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat one id all stay; rows without an id stay.
     """
-    kept = similar_documents(docs, **options).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    found = similar_documents(docs, **options)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(broadcast_if_small(stored(gone, "near-copies"), 500_000), "doc_id", "left_anti").select(*docs.columns)
