@@ -8,24 +8,26 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare as prepare_workers
+
 # The tokenizer library's own thread pool must not compete with Spark's task slots.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REPO = str(Path(__file__).resolve().parents[2])
+#: Rows of an Arrow batch: bounds what texts a batch holds in the JVM and in Python.
+BATCH_ROWS = 2000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they were started."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if REPO not in paths:
-        env["PYTHONPATH"] = ":".join([REPO, *paths])
+    """Let Python workers import this package, and keep Arrow batches small enough for long texts."""
+    prepare_workers(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, drop_table, map_rows, prepare, stored, whole_partition, write_table
 from .graph import connected_components, smallest_reachable
 
-#: Shingles gathered in a task before they are counted or combined: bounds its memory.
-CHUNK = 2_000_000
+#: Shingles gathered in a task before they are counted, and pivots before they are combined: bounds its memory.
+COUNTED, CHUNK = 1_000_000, 500_000
 #: Most shingles that get a level of their own.  A bound of memory; any order of pivots is exact.
 MOST_LEVELS = 400_000
 #: Bits of a sketch in which linked sets may differ.  A set whose sketch is within SKETCH_NEAR bits of another
 #: one at the same pivot of the same chunk is represented by it, which adds as much to the bound.
 SKETCH_BITS, SKETCH_NEAR = 38, 4
 #: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
-MEETING_ROWS, MEETING_GROUP = 100_000, 256
+MEETING_ROWS, MEETING_GROUP = 50_000, 256
 #: A region with more sets or shingles than this is joined in blocks.
 REGION_SETS, REGION_SHINGLES = 20_000, 8_000_000
 #: Pivots of such a region, and the most shingles that one may have.
@@ -193,7 +193,7 @@ def _sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(h1)
                     held.append(s)
                     size += len(s)
-            if size >= CHUNK:
+            if size >= COUNTED:
                 yield common(held)
                 held, size = [], 0
         if held:

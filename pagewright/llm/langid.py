@@ -28,6 +28,8 @@ from .common import id_crc, map_rows, prepare
 MARK = "▁"
 #: Words up to this length are computed together; longer ones one by one, with rescaling.
 TOGETHER = 40
+#: Words that one array computation takes.
+BLOCK = 2048
 #: Probability of a letter that is no piece, relative to the smallest one.
 UNKNOWN = 1e-7
 FIND_WORDS = regex.compile(r"\p{L}+").findall
@@ -99,8 +101,8 @@ def word_scores(words: list[str], vocabulary: Lattice, probability: np.ndarray)
     """Log probability of each word in each language."""
     out = np.empty((len(words), probability.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
-    for at in range(0, len(short), 8192):
-        own = short[at : at + 8192]
+    for at in range(0, len(short), BLOCK):
+        own = short[at : at + BLOCK]
         *edges, size = vocabulary.edges([words[i] for i in own])
         reach = _forward(*edges, size, probability)
         out[own] = np.log(reach[np.arange(len(own)), size])
@@ -128,15 +130,15 @@ def _long_word(word: str, vocabulary: Lattice, probability: np.ndarray) -> np.nd
 def _expected(words: list[str], counts: np.ndarray, vocabulary: Lattice, probability: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece, by word counts of each language."""
     total = np.zeros_like(probability)
-    for at in range(0, len(words), 8192):
-        own = words[at : at + 8192]
+    for at in range(0, len(words), BLOCK):
+        own = words[at : at + BLOCK]
         word, start, end, piece, size = vocabulary.edges(own)
         ahead = _forward(word, start, end, piece, size, probability)
         # Backward sums are forward sums of the mirrored words.
         back = _forward(word, size[word] - end, size[word] - start, piece, size, probability)
         whole = ahead[np.arange(len(own)), size]
         use = ahead[word, start] * probability[piece] * back[word, size[word] - end] / whole[word]
-        use *= counts[at : at + 8192][word]
+        use *= counts[at : at + BLOCK][word]
         for k in range(total.shape[1]):
             total[:, k] += np.bincount(piece, use[:, k], minlength=len(total))
     return total
@@ -197,7 +199,7 @@ def fit(
 class _Scorer:
     """Word scores that a worker remembers; the table is emptied when full."""
 
-    def __init__(self, model: LanguageModel, keep: int = 300_000):
+    def __init__(self, model: LanguageModel, keep: int = 150_000):
         self.model, self.keep = model, keep
         self.vocabulary = lattice(model.vocabulary_path)
         self.place: dict[str, int] = {}
@@ -254,8 +256,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     return map_rows(rows, make, "doc_id long, lang_pred string, score double", rows=256)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with at least this score; columns unchanged."""
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that are not ``und`` and score at least this much; columns unchanged."""
     prepare(docs.sparkSession)
     names = docs.columns
     schema = docs.schema

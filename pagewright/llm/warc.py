@@ -1,6 +1,6 @@
 """WARC archives: one gzip member for each record, identical payloads as revisits, and a salvage reader.
 
-The reader checks every record (gzip checksum, version line, length, record end, payload digest).  After
+The reader checks every record (gzip checksum, version line, length, record end, digests of block and payload).  After
 a failed check it seeks the next place where a whole valid record begins, a gzip member or a version
 line, goes on there, and logs the bytes between as a quarantined gap.
 """
@@ -42,6 +42,7 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -114,6 +115,9 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     if size < 0 or data[end : end + len(END)] != END:
         raise Damaged("record end")
     block = data[begin:end]
+    stated = headers.get("warc-block-digest", "")
+    if stated.startswith("sha256:") and stated[7:] != hashlib.sha256(block).hexdigest():
+        raise Damaged("block digest")
     kind, digest = headers.get("warc-type", ""), headers.get("warc-payload-digest", "")
     payload, full = block, size
     if headers.get("content-type", "").startswith("application/http"):
