@@ -35,8 +35,8 @@ def postings(pages: DataFrame, key: str) -> DataFrame:
 
 def match_postings(index: DataFrame, words: list[str], key: str) -> DataFrame:
     """Keys that have all words, with their score, from the postings alone."""
-    hit = index.filter(F.col("term").isin(*words)).groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("hits"))
-    return hit.filter(F.col("k") == len(words)).select(key, "hits")
+    hit = index.filter(F.col("term").isin(*words)).groupBy(key).agg(F.count(F.lit(1)).alias("_found"), F.sum("n").alias("hits"))
+    return hit.filter(F.col("_found") == len(words)).select(key, "hits")
 
 
 def rank(found: Column, length: Column) -> Column:
