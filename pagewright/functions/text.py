@@ -46,17 +46,17 @@ LANGUAGE_RANGES = {
 
 
 def digit_class() -> str:
-    """Ranges of all characters with a digit value, superscripts and circled digits included."""
-    out, start, last = [], None, None
-    for c in range(0x110000):
-        if chr(c).isdigit():
-            if start is None:
-                start = c
-            last = c
-        elif start is not None:
-            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
+    """All characters with a digit value, superscripts and circled digits included, as a character class."""
+    out, start = [], None
+    for c in range(0x110001):
+        # Decimal digits have a property of their own; ranges are needed for the others alone.
+        other = c < 0x110000 and chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"
+        if other and start is None:
+            start = c
+        elif not other and start is not None:
+            out.append(f"\\x{{{start:X}}}-\\x{{{c - 1:X}}}")
             start = None
-    return "".join(out)
+    return "\\p{Nd}" + "".join(out)
 
 
 DIGITS = digit_class()
@@ -103,14 +103,16 @@ def script_letters(text: Column, name: str) -> Column:
 
 
 def expected_characters(text: Column, language: Column, ranges: dict[str, str] | None = None) -> Column:
-    """Number of characters that are white space, digits, punctuation or letters of the language."""
-    common = f"{SPACES}\\x{{0B}}\\x{{0C}}\\x{{1C}}-\\x{{1F}}\\x{{85}}{DIGITS}\\p{{P}}"
-    out = F.regexp_count(text, F.lit(f"[{common}]"))
-    ranges = LANGUAGE_RANGES if ranges is None else ranges
+    """Number of characters that are white space, digits, punctuation or letters of the language.
+
+    The frequent members of the class stand first: the pattern engine tries them in order.
+    """
+    common = f"\\x{{20}}\\p{{P}}\\p{{Nd}}{SPACES}\\x{{0B}}\\x{{0C}}\\x{{1C}}-\\x{{1F}}\\x{{85}}{DIGITS}"
     chain = None
-    for name, own in ranges.items():
-        counted = F.regexp_count(text, F.lit(f"[{common}{own}]"))
+    for name, own in (LANGUAGE_RANGES if ranges is None else ranges).items():
+        counted = F.regexp_count(text, F.lit(f"[{own}{common}]"))
         chain = F.when(language == name, counted) if chain is None else chain.when(language == name, counted)
+    out = F.regexp_count(text, F.lit(f"[{common}]"))
     return out if chain is None else chain.otherwise(out)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import DEFAULT, Settings
 from ..functions import geometry as G
@@ -129,3 +134,36 @@ def zip_shortest(arrays: list[Column]) -> Column:
     """Parallel arrays cut to the shortest and zipped."""
     n = F.least(*(F.size(a) for a in arrays))
     return F.arrays_zip(*(F.slice(a, F.lit(1), F.greatest(n, F.lit(0))) for a in arrays))
+
+
+def by_page(df: DataFrame, order: list[str], work: Callable[[list[dict]], list[tuple]], schema: T.StructType) -> DataFrame:
+    """Apply ``work`` to the rows of each page, which come as dicts in the given order.
+
+    The rows are dealt by page and sorted inside the partitions; a task streams through its pages and holds one
+    of them at a time.  That costs far less for each page than a grouped call with frames of its own.
+    """
+    target = to_arrow_schema(schema)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(target)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, out = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row[PAGE[0]], row[PAGE[1]])
+                if key != page and held:
+                    out += work(held)
+                    held = []
+                    if len(out) >= 2000:
+                        yield pack(out)
+                        out = []
+                page = key
+                held.append(row)
+        if held:
+            out += work(held)
+        if out:
+            yield pack(out)
+
+    return df.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)

@@ -23,8 +23,12 @@ def script_mix(blocks: DataFrame, keys: list[str] | None = None, s: Settings = D
     recogniser does not read."""
     keys = PAGE if keys is None else keys
     text = F.coalesce("text", F.lit(""))
-    counts = [F.sum(X.script_letters(text, n)).alias(n) for n, *_ in X.SCRIPTS]
-    page = blocks.groupBy(*keys).agg(F.sum(X.letters(text)).alias("letters"), *counts)
+    latin = X.SCRIPTS[0][0]
+    first = blocks.select(*keys, text.alias("_t"), X.letters(text).alias("_letters"), X.script_letters(text, latin).alias("_latin"))
+    # Texts in Latin letters alone, the usual case, are not searched for the other scripts.
+    rest = F.when(F.col("_letters") > F.col("_latin"), F.col("_t"))
+    counts = [F.sum(F.coalesce(X.script_letters(rest, n), F.lit(0))).alias(n) for n, *_ in X.SCRIPTS[1:]]
+    page = first.groupBy(*keys).agg(F.sum("_letters").alias("letters"), F.sum("_latin").alias(latin), *counts)
     present = [F.when(F.col(n) / F.col("letters") >= s.script_share, F.lit(n)) for n, *_ in X.SCRIPTS]
     families = F.when(F.col("letters") > 0, F.array_compact(F.array(*present))).otherwise(F.array().cast("array<string>"))
     other = F.size(F.array_except("families", F.array(*(F.lit(p) for p in X.PRIMARY_SCRIPTS)))) > 0

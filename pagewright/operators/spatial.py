@@ -6,14 +6,14 @@ work of a page never leaves its partition.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, STRUCTURE_TYPES, Settings
 from ..functions import geometry as G
 from ..functions import text as X
-from .blocks import PAGE
+from .blocks import PAGE, by_page
 
 CAPTION = "(?i)^(figure|fig\\.|table)\\s*\\d+"
 
@@ -47,14 +47,17 @@ def duplicate_edges(blocks: DataFrame, similarity: Column | None = None, s: Sett
     return near.withColumn("similarity", like).filter(F.col("similarity") >= s.duplicate_similarity)
 
 
+def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, df.schema[n].dataType) for n in names]
+
+
 def duplicate_clusters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """``cluster`` of every block: the smallest ``seq`` that it reaches over edges of its page.
 
-    A page is one unit of layout, so its edges are closed in one grouped call; blocks without edges do not
-    go through it.
+    A page is one unit of layout, so its edges are closed at once; blocks without edges do not go through it.
     """
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+    def close(rows: list[dict]) -> list[tuple]:
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -63,23 +66,16 @@ def duplicate_clusters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
-        for x, y in zip(pdf.a_seq, pdf.b_seq):
-            low, high = sorted((find(x), find(y)))
+        for r in rows:
+            low, high = sorted((find(r["a_seq"]), find(r["b_seq"])))
             root[high] = low
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {
-                "document_id": first.document_id,
-                "page_number": first.page_number,
-                "seq": list(root),
-                "cluster": [find(x) for x in root],
-            }
-        )
-
-    types = dict(blocks.dtypes)
-    schema = f"document_id {types['document_id']}, page_number {types['page_number']}, seq int, cluster int"
+        page = [rows[0][c] for c in PAGE]
+        return [(*page, x, find(x)) for x in list(root)]
+
+    whole = T.IntegerType()
+    schema = T.StructType([*_fields(blocks, *PAGE), T.StructField("seq", whole), T.StructField("cluster", whole)])
     slim = edges.select(*PAGE, F.col("a_seq").cast("int").alias("a_seq"), F.col("b_seq").cast("int").alias("b_seq"))
-    closed = slim.groupBy(*PAGE).applyInPandas(close, schema)
+    closed = by_page(slim, [], close, schema)
     return blocks.join(closed, [*PAGE, "seq"], "left").withColumn("cluster", F.coalesce("cluster", "seq"))
 
 
@@ -117,45 +113,42 @@ def merge_engines(primary: DataFrame, fallback: DataFrame, s: Settings = DEFAULT
 
     Each fallback block in order takes the unused primary block of highest overlap (the first on ties); from
     ``merge_iou`` on the strictly more confident primary or else the fallback stands for both.  Unused
-    primary blocks follow.  Each choice depends on the choices before, so a page is folded in one grouped
-    call.  Pages that only one engine has pass through it unchanged.
+    primary blocks follow.  Each choice depends on the choices before, so a page is folded as a whole.  Pages
+    that only one engine has pass through it unchanged.
     """
-    columns = ["seq", "text", "x0", "y0", "x1", "y1", "confidence", "language", "type"]
+    columns = ("seq", "text", "x0", "y0", "x1", "y1", "confidence", "language", "type")
 
-    def flat(df: DataFrame) -> DataFrame:
-        box = [F.col(f"bbox.{e}").alias(e) for e in ("x0", "y0", "x1", "y1")]
+    def flat(df: DataFrame, side: int) -> DataFrame:
         have = set(df.columns)
+        box = [F.col(f"bbox.{e}").alias(e) for e in ("x0", "y0", "x1", "y1")]
         rest = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("language", "type")]
-        # Every column gets a new identity: both sides may stem from one table.
-        plain = [F.col(c).alias(c) for c in (*PAGE, "seq", "text")]
-        return df.select(*plain, *box, F.col("confidence").alias("confidence"), *(r.alias(n) for r, n in zip(rest, ("language", "type"))))
-
-    def overlap(a, b) -> float:
-        wide, high = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-        both = max(wide, 0.0) * max(high, 0.0)
-        sizes = [max(0.0, c.x1 - c.x0) * max(0.0, c.y1 - c.y0) for c in (a, b)]
-        return both / (sum(sizes) - both) if both > 0 else 0.0
-
-    def fold(key: tuple, first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
-        # A page that one side lacks comes as a frame without columns.
-        open_, others = (list(d.sort_values("seq").itertuples()) if len(d) else [] for d in (first, second))
+        return df.select(*PAGE, F.lit(side).alias("_side"), F.col("seq").cast("int").alias("seq"), "text", *box, "confidence", *rest)
+
+    def size(r: dict) -> float:
+        return max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"])
+
+    def overlap(a: dict, b: dict) -> float:
+        wide, high = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+        both = wide * high if wide > 0 and high > 0 else 0.0
+        return both / (size(a) + size(b) - both) if both else 0.0
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        open_ = [r for r in rows if r["_side"] == 0]
         out = []
-        for f in others:
-            best = max(open_, key=lambda p: overlap(f, p), default=None)  # max keeps the first of equals
-            if best is not None and overlap(f, best) >= s.merge_iou:
-                open_.remove(best)
-                out.append((best, "primary") if best.confidence > f.confidence else (f, "fallback"))
+        for f in (r for r in rows if r["_side"] == 1):
+            shares = [overlap(f, p) for p in open_]
+            best = max(shares, default=0.0)
+            if best > 0 and best >= s.merge_iou:
+                p = open_.pop(shares.index(best))  # the first of equals
+                out.append((p, "primary") if p["confidence"] > f["confidence"] else (f, "fallback"))
             else:
                 out.append((f, "fallback"))
         out += [(p, "primary") for p in open_]
-        rows = [[*key, i, *(getattr(r, c) for c in columns[1:]), engine] for i, (r, engine) in enumerate(out)]
-        return pd.DataFrame(rows, columns=[*PAGE, *columns, "engine_used"])
+        page = [rows[0][c] for c in PAGE]
+        return [(*page, i, *(r[c] for c in columns[1:]), engine) for i, (r, engine) in enumerate(out)]
 
-    types = dict(primary.dtypes)
-    schema = (
-        f"document_id {types['document_id']}, page_number {types['page_number']}, seq int, text string, x0 double, "
-        "y0 double, x1 double, y1 double, confidence double, language string, type string, engine_used string"
-    )
-    merged = flat(primary).groupBy(*PAGE).cogroup(flat(fallback).groupBy(*PAGE)).applyInPandas(fold, schema)
+    both = flat(primary, 0).unionByName(flat(fallback, 1))
+    schema = T.StructType([*_fields(both, *PAGE, *columns), T.StructField("engine_used", T.StringType())])
+    merged = by_page(both, ["_side", "seq"], fold, schema)
     box = G.bbox(*(F.col(e) for e in ("x0", "y0", "x1", "y1")))
     return merged.withColumn("bbox", box).drop("x0", "y0", "x1", "y1")
