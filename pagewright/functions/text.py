@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,12 +122,50 @@ def checkable_token(token: Column) -> Column:
     return (F.length(token) >= 3) & ~numeric
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """Length of the common beginning, by halving steps; texts of up to 2^22 characters."""
+    steps = F.array(*(F.lit(1 << k) for k in range(21, -1, -1)))
+    shorter = F.least(F.length(a), F.length(b))
+
+    def step(n: Column, k: Column) -> Column:
+        same = F.substring(a, F.lit(1), n + k) == F.substring(b, F.lit(1), n + k)
+        return F.when((n + k <= shorter) & same, n + k).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def edit_distance(a: Column, b: Column, long: int = 256) -> Column:
+    """Edit distance in code points.
+
+    Long texts lose their common beginning and end first, which does not change the distance: what is left of
+    a text and its correction is short, and the quadratic part runs on that alone.
+    """
+    def rest(t: Column, n: Column) -> Column:
+        return F.substring(t, n + 1, F.length(t))
+
+    def turned(p: Column, n: Column) -> Column:
+        return F.struct(F.reverse(rest(p.a, n)).alias("a"), F.reverse(rest(p.b, n)).alias("b"))
+
+    def middle(p: Column, n: Column) -> Column:
+        return F.levenshtein(rest(p.a, n), rest(p.b, n))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    back = _let(both, lambda p: _let(_common_start(p.a, p.b), lambda n: turned(p, n)))
+    cut = _let(back, lambda p: _let(_common_start(p.a, p.b), lambda n: middle(p, n)))
+    return F.when(F.greatest(F.length(a), F.length(b)) > long, cut).otherwise(F.levenshtein(a, b))
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """Edit distance over the longer length: 0 for equal texts, 1 if one is empty."""
     return (
         F.when(a == b, 0.0)
         .when((F.length(a) == 0) | (F.length(b) == 0), 1.0)
-        .otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+        .otherwise(edit_distance(a, b) / F.greatest(F.length(a), F.length(b)))
     )
 
 

@@ -127,3 +127,11 @@ def result_path(job: Column, form: str) -> Column:
     if form not in names:
         raise ValueError(f"unknown form {form}")
     return F.concat(F.lit("results/"), job, F.lit(f"/{names[form]}"))
+
+
+def fetch_results(requests: DataFrame, jobs: DataFrame, form: str) -> DataFrame:
+    """``job_id, path, error`` of each request: the artifact's path, or why there is none."""
+    known = jobs.select("job_id", "status")
+    joined = requests.select("job_id").join(known, "job_id", "left")
+    error = F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "done", "not_done")
+    return joined.select("job_id", F.when(error.isNull(), result_path(F.col("job_id"), form)).alias("path"), error.alias("error"))

@@ -228,3 +228,28 @@ def correct_blocks(blocks: DataFrame, provider: Provider | None = None, cache: D
     checked = precheck(blocks, cache, s)
     answers = None if provider is None else ask(distinct_requests(checked), provider, s=s)
     return apply_answers(checked, answers, s)
+
+
+def legacy_correction(blocks: DataFrame, dictionaries: dict[str, DataFrame], keys: list[str], s: Settings = DEFAULT) -> DataFrame:
+    """The older, offline branch: every text block is spell-checked with its language's dictionary.
+
+    Languages that split and join badly are corrected word by word, the others by runs.  Blocks of languages
+    without a dictionary keep their text; the reason is the same for all.
+    """
+    from . import spell
+
+    have = F.col("language").isin(*dictionaries)
+    out = blocks.filter(~F.coalesce(have, F.lit(False))).withColumn("corrected_text", F.col("text"))
+    for lang, words in dictionaries.items():
+        own = blocks.filter(F.col("language") == lang)
+        if lang in spell.WORD_BY_WORD:
+            done = spell.correct_words(own, words, keys, s)
+        else:
+            listed = [(r["word"], r["count"]) for r in words.select("word", "count").collect()]
+            done = spell.correct_runs(own, listed, keys, s)
+        out = out.unionByName(done.select(*blocks.columns, "corrected_text"))
+    return (
+        out.withColumn("original_text", F.col("text"))
+        .withColumn("correction_applied", F.col("corrected_text") != F.col("text"))
+        .withColumn("correction_reason", F.lit("legacy"))
+    )

@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import word_distance
+from ..functions.text import edit_distance, word_distance
 
 
 def cer(prediction: Column, truth: Column) -> Column:
     """Character error rate; without truth 0 for an empty prediction and else 1.  Null reads as empty."""
     p, t = F.coalesce(prediction, F.lit("")), F.coalesce(truth, F.lit(""))
     empty = F.when(p == "", 0.0).otherwise(1.0)
-    return F.when(t == "", empty).otherwise(F.levenshtein(p, t) / F.length(t))
+    return F.when(t == "", empty).otherwise(edit_distance(p, t) / F.length(t))
 
 
 @F.pandas_udf(T.DoubleType())

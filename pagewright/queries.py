@@ -475,7 +475,8 @@ def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def process_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _sized(_lines(spark, sf_dir))
+    # Recogniser output would be a stored table; the lines stand for it and are split once.
+    lines = _sized(_lines(spark, sf_dir)).persist(routing.KEEP)
 
     def better(pages: DataFrame) -> DataFrame:
         return lines.join(pages, blocks.PAGE, "left_semi").withColumn("confidence", F.least(F.col("confidence") + 0.1, F.lit(1.0)))

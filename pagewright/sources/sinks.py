@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,16 @@ def drop_figure_bytes(blocks: DataFrame, url) -> DataFrame:
     """Figures get their URL where a crop was made, and the bytes leave the table."""
     made = F.when((F.col("type") == "figure") & F.col("crop").isNotNull(), url)
     return blocks.withColumn("image_url", made).drop("crop")
+
+
+def delete_prefix(spark: SparkSession, path: str) -> bool:
+    """Delete a folder and all below it in any store that Spark reaches; false if there was nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def comparison_report(samples: DataFrame) -> DataFrame:
+    """The columns of the report on single samples, error rates with four decimals."""
+    return samples.select(
+        F.col("image_path").alias("image"), "language", F.col("truth").alias("actual_text"), "prediction", F.format_number("cer", 4).alias("cer")
+    )

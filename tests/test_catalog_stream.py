@@ -175,3 +175,14 @@ def test_image_kernels():
     grey = np.tile(np.linspace(100, 130, 128).astype(np.uint8), (128, 1))
     better = seams.equalise_tiles(grey)
     assert better.shape == grey.shape and better.max() - better.min() > int(grey.max()) - int(grey.min())
+
+
+def test_results_and_deletion(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "done"), ("b", "queued")], "job_id string, status string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
+    found = [(r.job_id, r.path, r.error) for r in catalog.fetch_results(asked, jobs, "txt").orderBy("job_id").collect()]
+    assert found == [("a", "results/a/result.txt", None), ("b", None, "not_done"), ("c", None, "not_found")]
+    (tmp_path / "x").mkdir()
+    assert sinks.delete_prefix(spark, str(tmp_path / "x")) and not sinks.delete_prefix(spark, str(tmp_path / "x"))
+    samples = spark.createDataFrame([("i.png", "en", "truth", "trut", 0.2)], "image_path string, language string, truth string, prediction string, cer double")
+    assert sinks.comparison_report(samples).first().cer == "0.2000"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import random
 import re
 import unicodedata
 
@@ -69,6 +70,21 @@ def test_edit_ratio(spark):
     assert [f for (f,) in found] == pytest.approx(want)
 
 
+def test_edit_distance_of_long_texts(spark):
+    r = random.Random(1)
+    rows = []
+    for _ in range(40):
+        a = [r.choice("ab\u00e9\u0928") for _ in range(r.choice([5, 260, 300]))]
+        b = list(a)
+        for _ in range(r.randrange(0, 6)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice([[], ["x"], ["y", "a"]])
+        rows.append(("".join(a), "".join(b)))
+    rows += [("a" * 300, "a" * 290), ("ab" * 200, "ba" * 200), ("x" * 300, ""), ("", "")]
+    found = ask(spark, rows, "a string, b string", X.edit_distance(F.col("a"), F.col("b")), F.levenshtein("a", "b"))
+    assert all(x == y for x, y in found)
+
+
 def test_similarity_keeps_the_junk_rule(spark):
     long = "ab" * 150
     rows = [(long, long[:-1]), ("Hello", " Hello "), (None, "")]

@@ -310,3 +310,10 @@ def test_rates(spark):
     assert found == [(pytest.approx(1 / 11), 0.5), (0.0, 0.0), (1.0, 1.0), (pytest.approx(1 / 6), 1.0), (1.0, 1.0)]
     s = metrics.summary(df).collect()
     assert [(r.language, r.n_samples) for r in s] == [("en", 3), ("hi", 2)]
+
+
+def test_legacy_branch(spark):
+    known = spark.createDataFrame(WORDS, "word string, count long")
+    rows = [block(0, (0, 0, 1, 1), "teh wrld", language="gu", confidence=0.5), block(1, (0, 0, 1, 1), "thecat", confidence=0.5), block(2, (0, 0, 1, 1), "teh", language="fr", confidence=0.5)]
+    done = correction.legacy_correction(frame(spark, rows), {"gu": known, "en": known}, ["document_id", "page_number", "seq"]).orderBy("seq").collect()
+    assert [(r.corrected_text, r.correction_applied) for r in done] == [("the world", True), ("the cat", True), ("teh", False)]
