@@ -104,7 +104,7 @@ def process_pages(
         every = every.unionByName(tried, allowMissingColumns=True)
     label = F.element_at(F.array(*map(F.lit, names)), F.col("attempt") + 1)
     taken = every.join(chosen.select(*PAGE, "attempt"), [*PAGE, "attempt"], "left_semi")
-    taken = taken.withColumn("ocr_attempt", label).drop("attempt")
+    taken = taken.withColumn("ocr_attempt", label).drop("attempt").persist(KEEP)
     accepted = route(page_signals(taken, s), s).filter(F.col("route") == "accept").select(*PAGE).persist(KEEP)
     kept = taken.join(accepted, PAGE, "left_semi").withColumn("engine_used", F.lit("primary"))
     rest = taken.join(accepted, PAGE, "left_anti")
