@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -75,6 +78,25 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str, rows: int = 128) -> DataFrame:
+    """The rows of ``df`` whose ``column`` passes, all columns as they are.
+
+    ``make()`` runs once for each task and returns the function from a list of values to a list of verdicts.
+    """
+    at_column = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for big in batches:
+            for at in range(0, big.num_rows, rows):
+                part = big.slice(at, rows)
+                yield part.filter(pa.array(passes(part.column(at_column).to_pylist()), pa.bool_()))
+        passes = big = part = None
+        give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column with null read as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -85,6 +107,14 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers stay, and idle ones must stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, object]]], schema: str, rows: int = 512
 ) -> DataFrame:
@@ -105,6 +135,8 @@ def map_rows(
             for at in range(0, big.num_rows, rows):
                 out = work(big.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        work = out = big = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -121,5 +153,7 @@ def whole_partition(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        out = None
+        give_back()
 
     return df.mapInArrow(run, schema)

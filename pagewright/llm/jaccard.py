@@ -155,7 +155,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[tuple[list, list]]:
     for big in batches:
         for at in range(0, big.num_rows, rows):
             part = big.slice(at, rows)
@@ -622,7 +622,7 @@ def _region_sets(rows: DataFrame, words: int) -> DataFrame:
 
         return work
 
-    return map_rows(rows.select("doc_id", "text", "region", "h1", "h2"), make, schema, rows=256)
+    return map_rows(rows.select("doc_id", "text", "region", "h1", "h2"), make, schema, rows=64)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -15,14 +15,13 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_rows, prepare
+from .common import filter_rows, id_crc, map_rows, prepare
 
 #: Marks the beginning of a word in the vocabulary.
 MARK = "▁"
@@ -253,23 +252,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
         return work
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_rows(rows, make, "doc_id long, lang_pred string, score double", rows=256)
+    return map_rows(rows, make, "doc_id long, lang_pred string, score double", rows=128)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` that are not ``und`` and score at least this much; columns unchanged."""
     prepare(docs.sparkSession)
-    names = docs.columns
-    schema = docs.schema
 
-    def run(batches):
+    def make():
         scorer = _Scorer(model)
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                texts = [t or "" for t in part.column(names.index("text")).to_pylist()]
-                found = scorer.totals(texts) if model.languages else [None] * len(texts)
-                keep = [t is not None and 1 / np.exp(t - t.max()).sum() >= least for t in found]
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+
+        def passes(texts: list[str | None]) -> list[bool]:
+            found = scorer.totals([t or "" for t in texts]) if model.languages else [None] * len(texts)
+            return [t is not None and bool(1 / np.exp(t - t.max()).sum() >= least) for t in found]
+
+        return passes
+
+    return filter_rows(docs, make, "text")

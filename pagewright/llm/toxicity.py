@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_rows, prepare
+from .common import filter_rows, id_crc, map_rows, prepare
 
 # Letters of other scripts that look like Latin ones, and what they look like.
 LOOK_ALIKE = dict(zip("авекмнорстухіѕјԁһԛԝɡαεικνορτυχ", "abekmhopctyxisjdhqwgaeikvoptux"))
@@ -255,16 +255,9 @@ def score(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
 def keep_clean(docs: DataFrame, lexicon: Lexicon, below: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold; columns unchanged."""
     prepare(docs.sparkSession)
-    at_text = docs.columns.index("text")
-
-    def run(batches):
-        import pyarrow as pa
 
+    def make():
         matcher = Matcher(lexicon)
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                found = [matcher.score(folded_words(t or "")) for t in part.column(at_text).to_pylist()]
-                yield part.filter(pa.array([s < below for s in found], pa.bool_()))
+        return lambda texts: [matcher.score(folded_words(t or "")) < below for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, make, "text")
