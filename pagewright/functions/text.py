@@ -68,12 +68,17 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def composed(text: Column) -> Column:
+    """The text in composed form.  Below U+0300 every text is composed already, so such texts stay in the JVM."""
+    return F.coalesce(nfc(F.when(text.rlike("[^\\x{00}-\\x{2FF}]"), text)), text)
+
+
 def clean_text(text: Column, compose: bool = True) -> Column:
     """Compose, delete replacement and control characters, collapse white space, strip.
 
     Null and empty texts pass unchanged.  ``compose=False`` skips the only step that needs Python.
     """
-    t = nfc(text) if compose else text
+    t = composed(text) if compose else text
     t = F.regexp_replace(t, f"[\\x{{FFFD}}{CONTROLS}]", "")
     t = F.regexp_replace(t, f"[{SPACES}]+", " ")
     return F.trim(t)

@@ -264,3 +264,29 @@ def test_empty_tables(spark):
     assert spatial.merge_engines(none, none).count() == 0
     assert layout.reading_order(none).count() == 0
     assert quality.page_quality(sized(none)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "parts, score",
+    [
+        ((0.9684, 0.5, 1.0, 0.6618, 1.0), 0.8132),
+        ((1.0, 1.0, 1.0, 0.9201, 1.0), 0.9880),
+        ((0.9604, 1.0, 0.9979, 0.3555, 0.9565), 0.8848),
+    ],
+)
+def test_weights_give_the_published_scores(parts, score):
+    """Components and scores of three pages, published with four decimals."""
+    s = quality.Settings()
+    weights = (s.weight_confidence, s.weight_text, s.weight_characters, s.weight_coverage, s.weight_language)
+    assert sum(w * p for w, p in zip(weights, parts)) == pytest.approx(score, abs=1e-4)
+
+
+def test_unions_keep_pages_together(spark):
+    """Two cached tables dealt by page, united and dealt by page again: a page must reach one call."""
+    rows = [block(i, (0, 0, 9, 9), str(i), page=p) for p in range(40) for i in range(3)]
+    a = frame(spark, rows).repartition(4, *PAGE).persist()
+    b = frame(spark, rows).repartition(4, *PAGE).persist()
+    a.count(), b.count()
+    merged = spatial.merge_engines(a, b)
+    assert merged.count() == 120
+    a.unpersist(), b.unpersist()
