@@ -130,12 +130,6 @@ def error_block(pages: DataFrame) -> DataFrame:
     )
 
 
-def zip_shortest(arrays: list[Column]) -> Column:
-    """Parallel arrays cut to the shortest and zipped."""
-    n = F.least(*(F.size(a) for a in arrays))
-    return F.arrays_zip(*(F.slice(a, F.lit(1), F.greatest(n, F.lit(0))) for a in arrays))
-
-
 def by_page(df: DataFrame, order: list[str], work: Callable[[list[dict]], list[tuple]], schema: T.StructType) -> DataFrame:
     """Apply ``work`` to the rows of each page, which come as dicts in the given order.
 

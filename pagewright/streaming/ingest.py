@@ -76,3 +76,8 @@ def query_status(query) -> str:
     if query.exception() is not None:
         return "FAILURE"
     return "STARTED" if query.isActive else "SUCCESS"
+
+
+def health(spark: SparkSession) -> bool:
+    """Whether the session runs jobs."""
+    return spark.range(1).count() == 1

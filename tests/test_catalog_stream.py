@@ -117,7 +117,7 @@ def test_queue_stream(spark, tmp_path):
 
     query = ingest.run_jobs(ingest.task_stream(spark, queue), process, events, mark)
     query.awaitTermination(60)
-    assert ingest.query_status(query) == "SUCCESS"
+    assert ingest.query_status(query) == "SUCCESS" and ingest.health(spark)
     assert {r.job_id: r.status for r in ingest.current_states(spark, events).collect()} == {"j1": "done", "j2": "done"}
 
     def broken(tasks):
