@@ -166,7 +166,7 @@ class MergeTable:
 class WordBpe:
     """The whole tokenizer: normalisation, split into words, encoding and decoding, as its file says."""
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -180,10 +180,15 @@ class WordBpe:
         self.plain_bytes = str.maketrans({chr(b): self.letters[b] for b in range(256)})
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True))))
+        self._offsets(spec, added)
+        self.binary = [i.to_bytes(4, "little") for i in range(len(self.offsets) - 1)]
+        self.decimal = [str(i).encode() for i in range(len(self.offsets) - 1)]
+        # Two generations of remembered words: when the young one holds half of what may be kept, it becomes
+        # the old one, and words that still occur move over.
         self.keep = keep
         self.fixed = {t: self._entry([i]) for t, i in added.items()}
         self.table: dict[str, tuple[bytes, bytes]] = dict(self.fixed)
-        self._offsets(spec, added)
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.agreed: dict[str, bool] = {}
 
     def _offsets(self, spec: dict, added: dict[str, int]) -> None:
@@ -192,9 +197,9 @@ class WordBpe:
         self.block = np.frombuffer(b"".join(rows), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
-    @staticmethod
-    def _entry(ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), " ".join(map(str, ids)).encode()
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        binary, decimal = self.binary, self.decimal
+        return b"".join([binary[i] for i in ids]), b" ".join([decimal[i] for i in ids])
 
     def _normal(self, text: str) -> str:
         if self.common(text):
@@ -238,14 +243,17 @@ class WordBpe:
         return self._entry(ids if ids is not None else [])
 
     def entries(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(little-endian ids, ids as decimal text) for each word; the table is emptied when full."""
-        if len(self.table) > self.keep:
-            self.table = dict(self.fixed)
-        table = self.table
+        """(little-endian ids, ids as decimal text) for each word, from a table of bounded size."""
+        if len(self.table) > self.keep // 2:
+            self.table, self.old = dict(self.fixed), self.table
+        table, old = self.table, self.old
         passing = {}
         for w in wanted:
             if w not in table:
-                (table if len(w) <= LONGEST_KEPT else passing)[w] = self._encode_word(w)
+                if w in old:
+                    table[w] = old[w]
+                else:
+                    (table if len(w) <= LONGEST_KEPT else passing)[w] = self._encode_word(w)
         return {**{w: table[w] for w in wanted if w in table}, **passing} if passing else table
 
     def encode(self, text: str) -> list[int]:

@@ -49,6 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written and not deleted.
+WRITTEN: list[str] = []
+
+
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> str:
     """Write ``df`` as Parquet into the shared folder and return its path.
 
@@ -56,6 +60,7 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd") -> str:
     """
     path = f"{shared_dir(df.sparkSession)}/pagewright/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
+    WRITTEN.append(path)
     return path
 
 
@@ -63,6 +68,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table made by :func:`write_table`, once nothing reads it any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table written so far, once no result that reads them is needed any more."""
+    for path in list(WRITTEN):
+        drop_table(spark, path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -86,6 +99,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
     at_column = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         passes = make()
         for big in batches:
             for at in range(0, big.num_rows, rows):
@@ -107,6 +121,11 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def settle() -> None:
+    """Fewer searches for cycles during a task: tables of texts have none, and searching them takes long."""
+    gc.set_threshold(100_000, 50, 50)
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: workers stay, and idle ones must stay small."""
     gc.collect()
@@ -130,6 +149,7 @@ def map_rows(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         work = make()
         for big in batches:
             for at in range(0, big.num_rows, rows):
@@ -151,6 +171,7 @@ def whole_partition(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
         out = None

@@ -77,3 +77,17 @@ def test_documents(spark, odd):
 
 def test_no_documents(none):
     assert packing.pack_documents(none).count() == 0
+
+
+def test_written_tables_can_be_dropped(spark, none):
+    from pagewright.llm import common
+
+    kept = common.WRITTEN[:]
+    common.WRITTEN.clear()
+    path = common.write_table(none, "x")
+    assert spark.read.parquet(path).count() == 0
+    common.drop_all(spark)
+    assert not common.WRITTEN
+    common.WRITTEN.extend(kept)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
