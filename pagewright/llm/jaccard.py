@@ -44,7 +44,7 @@ SKETCH_BITS, SKETCH_NEAR = 38, 4
 #: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
 MEETING_ROWS, MEETING_GROUP = 50_000, 256
 #: A region with more sets or shingles than this is joined in blocks.
-REGION_SETS, REGION_SHINGLES = 20_000, 8_000_000
+REGION_SETS, REGION_SHINGLES = 5_000, 3_000_000
 #: Pivots of such a region, and the most shingles that one may have.
 PIVOTS, PIVOT_SHINGLES = 8, 100_000
 
