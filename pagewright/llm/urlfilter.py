@@ -17,11 +17,11 @@ from .common import prepare
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path); a rule holds for its host and all subdomains and for paths that start so.
 RULES = (
-    ("allow", "example.org/"),
+    ("allow", "org/"),
     ("block", "example.org/es/"),
     ("block", "example.org/en/1"),
-    ("allow", "example.com/fr/"),
-    ("block", "example.com/de/"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
 )
 #: Bounds of what may be written into a plan or fitted on the driver.
 MOST_RULES, MOST_LABELLED, BUCKETS, GRAM = 2_000, 20_000, 2048, 3
