@@ -76,3 +76,17 @@ def test_bounds_and_empty_tables(spark):
         U.rule_of(F.lit(""), F.lit(""), [("allow", f"h{i}/") for i in range(U.MOST_RULES + 1)])
     with pytest.raises(ValueError):
         U.fit(spark, [("http://a/b", 1)] * (U.MOST_LABELLED + 1))
+
+
+def test_longest_rule_of_the_contract(spark):
+    rows = [
+        ("http://a.b.org/x", "org/", "allow"), ("http://ORG/", "org/", "allow"), ("http://example.org/es/1", "example.org/es/", "block"),
+        ("https://m.example.org/en/123", "example.org/en/1", "block"), ("https://m.example.org/en/2", "org/", "allow"),
+        ("http://x.com/fr/1", "com/fr/", "allow"), ("http://x.com/de/", "com/de/", "block"), ("http://x.com/en/", None, None),
+        ("http://example.org", None, None), ("http://forg/x", None, None), ("http://notexample.org/es/", "org/", "allow"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, want string, kind string")
+    found = U.judge_urls(df).join(df.select("page_id", "want", "kind"), "page_id").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.rule == r.want and (r.kind is None or r.verdict == r.kind)
