@@ -173,7 +173,7 @@ def fit(
     docs: DataFrame,
     train: object | None = None,
     per_language: int = 300,
-    longest_text: int = 1 << 16,
+    longest_text: int = 1 << 14,
     vocabulary_path: str | None = None,
 ) -> LanguageModel:
     """Fit on a bounded sample of the labelled documents.
@@ -196,32 +196,43 @@ def fit(
 
 
 class _Scorer:
-    """Word scores that a worker remembers; the table is emptied when full."""
+    """Word scores that a worker remembers, in two generations.
 
-    def __init__(self, model: LanguageModel, keep: int = 150_000):
+    When the young one is full it becomes the old one, and words that still occur move over.
+    """
+
+    def __init__(self, model: LanguageModel, keep: int = 120_000):
         self.model, self.keep = model, keep
         self.vocabulary = lattice(model.vocabulary_path)
-        self.place: dict[str, int] = {}
-        self.scores = np.empty((keep + 1, len(model.languages)), np.float64)
+        self.young = self._empty(keep)
+        self.old = self._empty(0)
+
+    def _empty(self, rows: int) -> tuple[dict[str, int], np.ndarray]:
+        return {}, np.empty((rows, len(self.model.languages)))
+
+    def _know(self, wanted: set[str]) -> None:
+        """Have every word of ``wanted`` in the young generation."""
+        place, scores = self.young
+        missing = [w for w in wanted if w not in place]
+        if len(place) + len(missing) > len(scores):
+            self.old, self.young = self.young, self._empty(max(self.keep, len(wanted)))
+            place, scores = self.young
+            missing = list(wanted)
+        old_place, old_scores = self.old
+        moved = [w for w in missing if w in old_place]
+        fresh = [w for w in missing if w not in old_place] if moved else missing
+        for words, rows in ((moved, old_scores[[old_place[w] for w in moved]] if moved else None), (fresh, None)):
+            if words:
+                at = len(place)
+                scores[at : at + len(words)] = word_scores(words, self.vocabulary, self.model.probability) if rows is None else rows
+                place.update(zip(words, range(at, at + len(words))))
 
     def totals(self, texts: list[str]) -> list[np.ndarray | None]:
         """Log probability of each text in each language; None without letters."""
         split = [FIND_WORDS(t.lower()) for t in texts]
-        wanted = set().union(*split)
-        missing = [w for w in wanted if w not in self.place]
-        if len(self.place) + len(missing) > self.keep:
-            self.place, missing = {}, list(wanted)
-        if len(missing) > self.keep:  # a batch of texts with more distinct words than the table holds
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return self.totals(texts[:half]) + self.totals(texts[half:])
-            self.scores = np.empty((len(missing) + 1, self.scores.shape[1]))
-        if missing:
-            at = len(self.place)
-            self.scores[at : at + len(missing)] = word_scores(missing, self.vocabulary, self.model.probability)
-            self.place.update(zip(missing, range(at, at + len(missing))))
-        place = self.place
-        return [self.scores[[place[w] for w in words]].sum(axis=0) if words else None for words in split]
+        self._know(set().union(*split))
+        place, scores = self.young
+        return [scores[[place[w] for w in words]].sum(axis=0) if words else None for words in split]
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
