@@ -69,8 +69,8 @@ class FastIds:
 class PreTokens:
     """Splits texts into pre-tokens and maps each distinct pre-token to a value.
 
-    ``value`` turns the ids of one pre-token into the value to remember.  ``keep`` bounds the table: when
-    it is full it is emptied, which costs time but never changes a result.
+    ``value`` turns the ids of one pre-token into the value to remember.  ``keep`` bounds the table,
+    which costs time but never changes a result.
     """
 
     def __init__(self, path: str, value: Callable[[list[int]], object], keep: int = 300_000):
@@ -81,6 +81,7 @@ class PreTokens:
         self.value = value
         self.keep = keep
         self.table: dict[str, object] = {}
+        self.old: dict[str, object] = {}
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(f"[^\\x00-{chr(ord(FIRST_ODD) - 1)}]").search
         self.agreed: dict[str, bool] = {}
@@ -117,12 +118,20 @@ class PreTokens:
         return out + self._plain(text[at:])
 
     def values(self, wanted: Iterable[str]) -> dict[str, object]:
-        """A table that has a value for every string of ``wanted``; each one is encoded at most once."""
+        """A table that has a value for every string of ``wanted``; each one is encoded at most once.
+
+        Two generations bound it: when the young one holds half of what may be kept it becomes the old one,
+        and pre-tokens that still occur move over.
+        """
         wanted = set(wanted)
-        if len(self.table) > self.keep:
-            self.table = {}
-        table = self.table
+        if len(self.table) > self.keep // 2:
+            self.table, self.old = {}, self.table
+        table, old = self.table, self.old
         missing = [w for w in wanted if w not in table]
+        for w in missing:
+            if w in old:
+                table[w] = old[w]
+        missing = [w for w in missing if w not in table]
         if not missing:
             return table
         encode = self.encoder.encode
