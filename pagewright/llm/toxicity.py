@@ -99,51 +99,55 @@ def _forms(word: str) -> list[str]:
     return [f" {word} ", *(" " + word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
-def _entries(docs: list[tuple[list[str], int]], least: float, times: float) -> dict[str, float]:
+def _entries(docs: list[tuple[list[str], int]], share: float, least: float, times: float) -> dict[str, float]:
     """Words and word beginnings that are far commoner in toxic documents, with their log odds.
 
     An entry needs toxic documents and also that many different neighbourhoods (the words on both sides),
-    so the accidental words of a toxic text with many near copies do not get in.
+    so the accidental words of a toxic text with many near copies do not get in.  At the corpus's own
+    ``share`` of toxic documents, four of five documents that have an entry must be toxic.
     """
     n = Counter(y for _, y in docs)
-    seen = {0: Counter(), 1: Counter()}
-    for words, y in docs:
-        seen[y].update({e for w in set(words) for e in _forms(w)})
+    few = max(5.0, least * n[1])
+    every = Counter(e for words, y in docs if y for e in {e for w in set(words) for e in _forms(w)})
+    # Only forms that enough toxic documents have are counted any further.
+    bad = {e: c for e, c in every.items() if c >= few}
+    longest: dict[str, int] = {}  # of the words that a beginning stands for, how common the commonest is
+    for e, c in every.items():
+        if e[-1] == " ":
+            for k in (4, 5, 6):
+                if len(e) - 2 > k:
+                    longest[e[: k + 1]] = max(longest.get(e[: k + 1], 0), c)
+    del every
+    good: Counter = Counter()
     around: dict[str, set] = {}
     for words, y in docs:
         if y:
             for one, w, two in zip(["", *words], words, [*words[1:], ""]):
                 for e in _forms(w):
-                    if seen[1][e] >= 4 * max(1, seen[0][e]):
+                    if e in bad:
                         around.setdefault(e, set()).add((one, two))
-    bad, good = seen[1], seen[0]
-    few = max(5.0, least * n[1])
+        else:
+            good.update({e for w in set(words) for e in _forms(w) if e in bad})
     passing = {
         e: c
         for e, c in bad.items()
-        if c >= few
-        and c / n[1] >= times * (good[e] + 0.5) / n[0]
+        if c / n[1] >= times * (good[e] + 0.5) / n[0]
         and c >= 4 * good[e]
-        and len(around.get(e, ())) >= few
+        and len(around[e]) >= few
     }
     whole = {e: c for e, c in passing.items() if e[-1] == " "}
     # A beginning counts if it stands for many words; of nested ones the commonest, then the longest.
-    below: dict[str, int] = {}
-    for e, c in bad.items():
-        if e[-1] == " ":
-            for k in (4, 5, 6):
-                if len(e) - 2 > k:
-                    below[e[: k + 1]] = max(below.get(e[: k + 1], 0), c)
     begins: list[str] = []
     for e in sorted((e for e in passing if e[-1] != " "), key=lambda e: (-passing[e], -len(e), e)):
-        if passing[e] >= 1.5 * below.get(e, 0) and not any(e.startswith(b) or b.startswith(e) for b in begins):
+        if passing[e] >= 1.5 * longest.get(e, 0) and not any(e.startswith(b) or b.startswith(e) for b in begins):
             begins.append(e)
     chosen = [*begins, *(e for e in whole if not any(e.startswith(b) for b in begins))]
 
     def odds(c: int, total: int) -> float:
         return math.log((c + 0.5) / (total - c + 0.5))
 
-    return {e: odds(bad[e], n[1]) - odds(good[e], n[0]) for e in sorted(chosen)}
+    weights = {e: odds(bad[e], n[1]) - odds(good[e], n[0]) for e in sorted(chosen)}
+    return {e: w for e, w in weights.items() if w + math.log(share / (1 - share)) >= math.log(4)}
 
 
 def _exceptions(docs: list[tuple[list[str], int]], weights: dict[str, float], least: int) -> list[str]:
@@ -187,12 +191,12 @@ def fit_texts(
     n = Counter(y for _, y in split)
     if not n[0] or not n[1]:
         return Lexicon()
-    weights = _entries(split, least, times)
+    share = min(max(n[1] / len(split) if share is None else share, 1e-4), 1 - 1e-4)
+    weights = _entries(split, share, least, times)
     lexicon = Lexicon(weights, _exceptions(split, weights, least=3))
     matcher = Matcher(lexicon)
     x = np.array([matcher.total(w) for w, _ in split])
     y = np.array([y for _, y in split], float)
-    share = min(max(n[1] / len(split) if share is None else share, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, share * len(split) / n[1], (1 - share) * len(split) / n[0])
     lexicon.slope, lexicon.intercept = _line(x, y, weight)
     return lexicon
@@ -202,9 +206,9 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     train: object | None = None,
-    toxic_rows: int = 2000,
-    clean_rows: int = 4000,
-    longest_text: int = 1 << 16,
+    toxic_rows: int = 1500,
+    clean_rows: int = 3000,
+    longest_text: int = 1 << 14,
 ) -> Lexicon:
     """Fit on a bounded sample of the labelled documents.
 
