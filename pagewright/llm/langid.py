@@ -31,6 +31,8 @@ TOGETHER = 40
 BLOCK = 2048
 #: Probability of a letter that is no piece, relative to the smallest one.
 UNKNOWN = 1e-7
+#: Sums below this are computed again in logarithms: doubles end near 1e-308, and lose digits before.
+FAINT = 1e-280
 FIND_WORDS = regex.compile(r"\p{L}+").findall
 
 
@@ -78,11 +80,15 @@ def lattice(vocabulary_path: str) -> Lattice:
     return Lattice(vocabulary_path)
 
 
-def _forward(word, start, end, piece, size, probability):
-    """Sums of all segmentations that reach each position, one row for each word and language."""
+def _forward(word, start, end, piece, size, probability, logs=False):
+    """Sums of all segmentations that reach each position, one row for each word and language.
+
+    With ``logs``, ``probability`` and the result are logarithms, which do not underflow.
+    """
     n, langs = len(size), probability.shape[1]
-    reach = np.zeros((n, int(size.max()) + 1, langs))
-    reach[:, 0] = 1
+    times, plus = (np.add, np.logaddexp) if logs else (np.multiply, np.add)
+    reach = np.full((n, int(size.max()) + 1, langs), -np.inf if logs else 0.0)
+    reach[:, 0] = 0 if logs else 1
     order = np.lexsort((word, end))
     word, start, end, piece = word[order], start[order], end[order], piece[order]
     bounds = np.searchsorted(end, np.arange(reach.shape[1] + 1))
@@ -92,10 +98,18 @@ def _forward(word, start, end, piece, size, probability):
             continue
         own = word[a:b]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        reach[own[first], at] = np.add.reduceat(reach[own, start[a:b]] * probability[piece[a:b]], first, axis=0)
+        reach[own[first], at] = plus.reduceat(times(reach[own, start[a:b]], probability[piece[a:b]]), first, axis=0)
     return reach
 
 
+def _faint(whole: np.ndarray) -> np.ndarray:
+    """The words whose sum is too small for plain doubles in some language.
+
+    No sum exceeds 1, so what underflows on the way cannot add more than that to a sum that is not faint.
+    """
+    return np.flatnonzero((whole < FAINT).any(axis=1))
+
+
 def word_scores(words: list[str], vocabulary: Lattice, probability: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.empty((len(words), probability.shape[1]))
@@ -103,8 +117,14 @@ def word_scores(words: list[str], vocabulary: Lattice, probability: np.ndarray)
     for at in range(0, len(short), BLOCK):
         own = short[at : at + BLOCK]
         *edges, size = vocabulary.edges([words[i] for i in own])
-        reach = _forward(*edges, size, probability)
-        out[own] = np.log(reach[np.arange(len(own)), size])
+        whole = _forward(*edges, size, probability)[np.arange(len(own)), size]
+        faint = _faint(whole)
+        whole[faint] = 1
+        out[own] = np.log(whole)
+        if len(faint):
+            *edges, size = vocabulary.edges([words[own[i]] for i in faint])
+            reach = _forward(*edges, size, np.log(probability), logs=True)
+            out[[own[i] for i in faint]] = reach[np.arange(len(faint)), size]
     for i, w in enumerate(words):
         if len(w) > TOGETHER:
             out[i] = _long_word(w, vocabulary, probability)
@@ -136,13 +156,26 @@ def _expected(words: list[str], counts: np.ndarray, vocabulary: Lattice, probabi
         # Backward sums are forward sums of the mirrored words.
         back = _forward(word, size[word] - end, size[word] - start, piece, size, probability)
         whole = ahead[np.arange(len(own)), size]
+        faint = _faint(whole)
+        whole[faint] = np.inf  # their uses are added below
         use = ahead[word, start] * probability[piece] * back[word, size[word] - end] / whole[word]
-        use *= counts[at : at + BLOCK][word]
-        for k in range(total.shape[1]):
-            total[:, k] += np.bincount(piece, use[:, k], minlength=len(total))
+        _add_uses(total, piece, use * counts[at : at + BLOCK][word])
+        if len(faint):
+            word, start, end, piece, size = vocabulary.edges([own[i] for i in faint])
+            log_p = np.log(probability)
+            ahead = _forward(word, start, end, piece, size, log_p, logs=True)
+            back = _forward(word, size[word] - end, size[word] - start, piece, size, log_p, logs=True)
+            whole = ahead[np.arange(len(faint)), size]
+            use = np.exp(ahead[word, start] + log_p[piece] + back[word, size[word] - end] - whole[word])
+            _add_uses(total, piece, use * counts[at : at + BLOCK][faint][word])
     return total
 
 
+def _add_uses(total: np.ndarray, piece: np.ndarray, use: np.ndarray) -> None:
+    for k in range(total.shape[1]):
+        total[:, k] += np.bincount(piece, use[:, k], minlength=len(total))
+
+
 @dataclass
 class LanguageModel:
     """Languages in alphabetical order and the probability of each piece in each of them."""

@@ -104,3 +104,31 @@ def test_scores_do_not_overflow(model):
     scorer = langid._Scorer(model)
     total = scorer.totals(["house " * 20000])[0]
     assert math.isfinite(total.max())
+
+
+#: Runs of 35 and 40 letters that are no pieces: Lao, and mathematical bold.
+RUNS = [pytest.param("ກຂຄງຈ" * 7, id="lao"), pytest.param("\U0001d41a" * 40, id="bold")]
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_runs_of_unknown_letters_do_not_underflow(run, model):
+    vocabulary = langid.lattice(PATH)
+    row = langid.word_scores(["house", run, "garten"], vocabulary, model.probability)[1]
+    assert np.isfinite(row).all() and row == pytest.approx(langid._long_word(run, vocabulary, model.probability))
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_the_fit_counts_runs_of_unknown_letters(run):
+    fitted = langid.fit_texts([(lang, f"{text} {run}") for lang, text in SAMPLES], PATH)
+    assert np.isfinite(fitted.probability).all() and fitted.probability.sum(axis=0) == pytest.approx(np.ones(3))
+    # Every segmentation of the run uses each of its letters once; the mark before it is a piece.
+    use = langid._expected([run], np.full((1, 3), 2.0), langid.lattice(PATH), fitted.probability)
+    assert use[-1] == pytest.approx(np.full(3, 2.0 * len(run))) and use.sum(axis=0) == pytest.approx(np.full(3, 2.0 * (len(run) + 1)))
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_a_run_of_unknown_letters_leaves_the_document(run, spark, model):
+    docs = spark.createDataFrame([(1, f"the house and the garden {run} are here with the people of this town")], "doc_id long, text string")
+    row = langid.identify(docs, model).first()
+    assert row.lang_pred == "en" and 0.5 < row.score <= 1
+    assert langid.keep_identified(docs, model).count() == 1
