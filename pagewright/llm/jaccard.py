@@ -8,8 +8,9 @@ The Jaccard distance is a metric.  The join works in five steps:
     first ``n - ceil(t n) + 1`` of its pivots.  That window is what the triangle inequality needs at a
     similarity of t: two sets that are that near share a pivot inside both windows.
 3.  Where sets meet at a pivot, their sketches (one bit of each of 128 minimum hashes) are compared.  Sets of
-    similarity 0.8 differ in 13 bits on average and in more than SKETCH_BITS with a chance below 1e-13; sets
-    that merely share a passage differ in about 60.  Sets that pass form regions, transitively.
+    similarity 0.8 differ in 13 bits on average and in more than SKETCH_BITS with a chance of 1.3e-10; such a
+    link is lost unless other links connect the two.  Sets that merely share a passage differ in about 60.
+    Sets that pass form regions, transitively.
 4.  Inside a region its own counts are known, so the windows are taken anew in exact order of rarity, and
     the region falls into smaller regions, recursively.  What does not fall apart is joined by distances
     to a pivot: what lies within the threshold is linked through it, and of the rest only documents whose
@@ -39,7 +40,8 @@ COUNTED, CHUNK = 1_000_000, 500_000
 #: Most shingles that get a level of their own.  A bound of memory; any order of pivots is exact.
 MOST_LEVELS = 400_000
 #: Bits of a sketch in which linked sets may differ.  A set whose sketch is within SKETCH_NEAR bits of another
-#: one at the same pivot of the same chunk is represented by it, which adds as much to the bound.
+#: one at the same pivot of the same chunk is represented by it.  Across chunks both sets may be represented,
+#: so the bound there is wider by twice as much.
 SKETCH_BITS, SKETCH_NEAR = 38, 4
 #: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
 MEETING_ROWS, MEETING_GROUP = 50_000, 256
@@ -335,7 +337,7 @@ def _meeting_edges(postings: DataFrame) -> DataFrame:
 
         def flush(cols: list[np.ndarray]) -> dict:
             pivot, k1, k2 = cols
-            x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + SKETCH_NEAR)
+            x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + 2 * SKETCH_NEAR)
             node = _node(k1, k2)
             nodes, low = smallest_reachable(node[x], node[y])
             return {"a": nodes[nodes != low], "b": low[nodes != low]}

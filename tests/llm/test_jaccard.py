@@ -111,6 +111,15 @@ def test_sketches_of_similar_sets_are_near():
             assert (a1 ^ b1).bit_count() + (a2 ^ b2).bit_count() <= J.SKETCH_BITS
 
 
+def test_representatives_across_chunks_stay_within_the_bound(spark):
+    # Sketches 38 bits apart, each represented by one that is 4 bits further off.
+    k1, k2 = (1 << 38) - 1, 0
+    rows = [(7, 15 << 40, 0), (7, k1, 15 << 40)]
+    postings = spark.createDataFrame(rows, "a long, b long, c long")
+    assert (rows[0][1] ^ k1).bit_count() + (15 << 40).bit_count() == J.SKETCH_BITS + 2 * J.SKETCH_NEAR
+    assert J._meeting_edges(postings).count() == 1
+
+
 def test_large_meetings_are_connected_like_small_ones(monkeypatch):
     r = np.random.default_rng(4)
     k1, k2 = r.integers(0, 1 << 63, (2, 300), dtype=np.uint64)
