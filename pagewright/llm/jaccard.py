@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,11 @@ from .graph import connected_components, smallest_reachable
 COUNTED, CHUNK = 1_000_000, 500_000
 #: Most shingles that get a level of their own.  A bound of memory; any order of pivots is exact.
 MOST_LEVELS = 400_000
-#: Bits of a sketch in which linked sets may differ.  A set whose sketch is within SKETCH_NEAR bits of another
+#: Bits of a sketch in which linked sets may differ at 80 percent or more (sketch_bits has more for less), and the
+#: most chance that a pair at the threshold exceeds them.  A set whose sketch is within SKETCH_NEAR bits of another
 #: one at the same pivot of the same chunk is represented by it.  Across chunks both sets may be represented,
 #: so the bound there is wider by twice as much.
-SKETCH_BITS, SKETCH_NEAR = 38, 4
+SKETCH_BITS, SKETCH_MISS, SKETCH_NEAR = 38, 2e-10, 4
 #: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
 MEETING_ROWS, MEETING_GROUP = 50_000, 256
 #: A region with more sets or shingles than this is joined in blocks.
@@ -233,6 +235,17 @@ def sketch(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(bits[:8].tobytes(), "little"), int.from_bytes(bits[8:].tobytes(), "little")
 
 
+def sketch_bits(percent: int) -> int:
+    """Bits in which sketches of linked sets may differ: a bit differs with a chance of half the distance.
+
+    Low thresholds give bounds that nearly all pairs pass; the sketches then no longer divide, but lose nothing.
+    """
+    p, past, most = (1 - percent / 100) / 2, 0.0, 128
+    while most > SKETCH_BITS and (past := past + comb(128, most) * p**most * (1 - p) ** (128 - most)) <= SKETCH_MISS:
+        most -= 1
+    return most
+
+
 def _node(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     """64-bit name of a sketch.  Equal names only put sets into one region, where they are compared whole."""
     return _signed(_mixed(k1 * _PLACE[1] + _mixed(k2)))
@@ -290,7 +303,7 @@ def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
         order = np.lexsort((own[row, 1], own[row, 0], pivot))
         pivot, row = pivot[order], row[order]
         k1, k2 = own[row, 0], own[row, 1]
-        x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + SKETCH_NEAR)
+        x, y = meeting_edges(pivot, k1, k2, sketch_bits(percent) + SKETCH_NEAR)
         edges = np.unique(np.stack([node[row[x]], node[row[y]]]), axis=1)
         # A row goes if the first row of its pivot is almost equal to it.
         new = np.concatenate([[True], pivot[1:] != pivot[:-1]])
@@ -329,7 +342,7 @@ def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
     return whole_partition(docs, work, "kind int, a long, b long, c long")
 
 
-def _meeting_edges(postings: DataFrame) -> DataFrame:
+def _meeting_edges(postings: DataFrame, percent: int = 80) -> DataFrame:
     """Nodes that meet at a pivot across all chunks: ``a, b``, a forest for each stretch of rows."""
 
     def work(batches):
@@ -337,7 +350,7 @@ def _meeting_edges(postings: DataFrame) -> DataFrame:
 
         def flush(cols: list[np.ndarray]) -> dict:
             pivot, k1, k2 = cols
-            x, y = meeting_edges(pivot, k1, k2, SKETCH_BITS + 2 * SKETCH_NEAR)
+            x, y = meeting_edges(pivot, k1, k2, sketch_bits(percent) + 2 * SKETCH_NEAR)
             node = _node(k1, k2)
             nodes, low = smallest_reachable(node[x], node[y])
             return {"a": nodes[nodes != low], "b": low[nodes != low]}
@@ -571,7 +584,7 @@ def similar_documents(
     levels = spark.sparkContext.broadcast(_levels(first.filter("kind = 1").select("shingle", "n")))
 
     met = stored(_meetings(rows, levels, words, percent), "meetings")
-    edges = _meeting_edges(met.filter("kind = 0")).union(met.filter("kind = 1").select("a", "b"))
+    edges = _meeting_edges(met.filter("kind = 0"), percent).union(met.filter("kind = 1").select("a", "b"))
     parts = connected_components(edges).withColumnRenamed("node", "b")
     nodes = met.filter("kind = 2").select(F.col("a").alias("h1"), "b").distinct()
     regions = nodes.join(parts, "b", "left").select("h1", F.coalesce("component", "b").alias("region"))

@@ -80,6 +80,31 @@ def test_other_thresholds(spark):
     assert [found[i] for i in range(len(texts))] == brute(texts, 90)[1]
 
 
+def test_a_low_threshold(spark):
+    # 400 pairs of 100 shingles each, of which they share 67: 50 percent of the union.
+    texts = []
+    for i in range(400):
+        own = [f"p{i}w{k}" for k in range(104)]
+        texts += [" ".join(own), " ".join(own[:71] + [f"q{i}w{k}" for k in range(33)])]
+    sizes, parts = brute(texts[:2], 50)
+    assert sizes == [100, 100] and parts == [0, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in J.similar_documents(docs, percent=50).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("percent", [30, 50, 60])
+def test_low_thresholds_like_brute_force(spark, percent):
+    texts = some_texts(8, 120)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in J.similar_documents(docs, percent=percent).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts, percent)[1]
+
+
+def test_bits_of_a_sketch_follow_from_the_threshold():
+    assert [J.sketch_bits(p) for p in (100, 90, 80, 60, 50)] == [38, 38, 38, 57, 65]
+
+
 def test_a_large_group_of_near_copies(spark):
     base = [f"w{i}" for i in range(60)]
     texts = []
