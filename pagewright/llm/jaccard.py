@@ -559,7 +559,18 @@ def _large_regions(rows: DataFrame, large: DataFrame, percent: int, block: int)
     return spark.createDataFrame([], "a long, b long").union(star).union(found)
 
 
-def similar_documents(
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; the options are those of ``_components``.
+
+    Two documents link if ``100 * intersection >= percent * union`` of their sets of shingles.  The
+    component is the smallest id reachable by links, the own id included.  Null texts and texts without
+    words have no shingles and link with nothing.  Documents that share an id are one node.  A row
+    without an id takes the component of the documents with its set, if any.  Other columns are ignored.
+    """
+    return _components(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(
     docs: DataFrame,
     percent: int = 80,
     words: int = 5,
@@ -568,12 +579,10 @@ def similar_documents(
     region_sets: int = REGION_SETS,
     region_shingles: int = REGION_SHINGLES,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
+    """``doc_id, n, h1, h2, text_component, component_id`` of every row.
 
-    Two documents link if ``100 * intersection >= percent * union`` of their sets of shingles.  The
-    component is the smallest id reachable by links, the own id included.  Null texts and texts without
-    words have no shingles and link with nothing.  Documents that share an id are one node.  A row
-    without an id takes the component of the documents with its set, if any.  Other columns are ignored.
+    The text component is the smallest id that links alone reach from the row's own text; it differs from the
+    component only where an id has several texts.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
@@ -603,48 +612,86 @@ def similar_documents(
     )
     large = stored(large, "large-regions")
     small = sets.join(F.broadcast(large.select("region")), "region", "left_anti").filter("n > 0")
+    # Nodes are classes, not ids: an id may have several texts.
     links = _join_pieces(
         small.select(F.col("region").alias("piece"), "doc", F.col("doc").alias("known"), "shingles"), percent
     )
     if large.limit(1).count():
         links = links.union(_large_regions(sets, large, percent, max(1, region_sets // 2)))
-    components = connected_components(links).withColumnRenamed("node", "doc")
-
-    found = classes.join(components, "doc", "left").select(
-        "h1", "h2", F.coalesce("component", "doc").alias("component_id")
-    )
-    # Ids that several texts share connect their classes, whose component is then the smaller one.
-    return named.join(found, ["h1", "h2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    parts = stored(connected_components(links), "linked-classes")
+    found = classes.join(_smallest_ids(classes, parts, "text_component"), "h1", "left")
+    # Ids that several texts share connect their classes.
+    torn = named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+    torn = stored(torn.filter("low < high"), "torn-ids")
+    if torn.limit(1).count():
+        seams = named.filter("n > 0").join(torn, "doc_id").select(F.col("h1").alias("a"), F.col("low").alias("b"))
+        parts = stored(connected_components(parts.toDF("a", "b").union(seams)), "joined-classes")
+        found = found.join(_smallest_ids(classes, parts, "component_id"), "h1", "left")
+    else:
+        found = found.withColumn("component_id", F.col("text_component"))
+    found = found.select("h1", "h2", *(F.coalesce(c, "doc").alias(c) for c in ("text_component", "component_id")))
+    own = (F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("text_component", "component_id"))
+    return named.join(found, ["h1", "h2"], "left").select("doc_id", "n", "h1", "h2", *own)
+
+
+def _smallest_ids(classes: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """``h1`` and the smallest id of its component, of classes that are linked."""
+    linked = parts.withColumnRenamed("node", "h1").join(classes.select("h1", "doc"), "h1")
+    low = linked.groupBy("component").agg(F.min("doc").alias(name))
+    return parts.withColumnRenamed("node", "h1").join(low, "component").select("h1", name)
 
 
 def _region_sets(rows: DataFrame, words: int) -> DataFrame:
-    """``region, doc, n, shingles`` of one document for each class that is in a region."""
+    """``region, doc, n, shingles`` of each class that is in a region; ``doc`` is the class's ``h1``."""
     schema = "region long, doc long, n long, shingles binary"
 
     def make():
         def work(batch):
             out = {"region": [], "doc": [], "n": [], "shingles": []}
             found = shingle_sets(batch["text"], words)
-            for s, doc, region, h1, h2 in zip(found, batch["doc_id"], batch["region"], batch["h1"], batch["h2"]):
+            for s, region, h1, h2 in zip(found, batch["region"], batch["h1"], batch["h2"]):
                 if signature(s) == (h1, h2):  # where ids repeat, the row with another text is not meant
-                    for k, v in zip(out, (region, doc, len(s), s.tobytes())):
+                    for k, v in zip(out, (region, h1, len(s), s.tobytes())):
                         out[k].append(v)
             return out
 
         return work
 
-    return map_rows(rows.select("doc_id", "text", "region", "h1", "h2"), make, schema, rows=64)
+    return map_rows(rows.select("text", "region", "h1", "h2"), make, schema, rows=64)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; columns unchanged.
+    """The rows of ``docs`` whose id is the smallest that links reach from their text; columns unchanged.
 
-    Of rows that repeat one id all stay; rows without an id stay.
+    Of rows that repeat such an id all stay; rows without an id stay.  Where an id has several texts, each row
+    goes or stays by its own text.
     """
-    found = similar_documents(docs, **options)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(broadcast_if_small(stored(gone, "near-copies"), 500_000), "doc_id", "left_anti").select(*docs.columns)
+    found = stored(_components(docs, **options), "components")
+    gone = F.col("doc_id") != F.col("text_component")
+    by_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(gone).alias("some"), F.min(gone).alias("all"))
+    by_id = stored(by_id.filter("some"), "near-copies")
+    whole = by_id.filter("all").select("doc_id")
+    kept = docs.join(broadcast_if_small(whole, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    partly = by_id.filter("NOT all").select("doc_id")
+    if not partly.limit(1).count():
+        return kept
+    text = F.col(options.get("text_column", "text")).cast("string")
+    rows = docs.join(broadcast_if_small(partly), "doc_id").select("doc_id", text.alias("text")).distinct()
+    goes = found.filter(gone).select("doc_id", "h1", "h2").distinct()
+    texts = _named_texts(rows, options.get("words", 5)).join(goes, ["doc_id", "h1", "h2"]).select("doc_id", "_digest")
+    keyed = kept.withColumn("_digest", F.sha2(text, 256))
+    return keyed.join(stored(texts, "copied-texts"), ["doc_id", "_digest"], "left_anti").select(*docs.columns)
+
+
+def _named_texts(rows: DataFrame, words: int) -> DataFrame:
+    """``doc_id, _digest, h1, h2``: the digest of each text and the class of its set."""
+
+    def make():
+        def work(batch):
+            names = [signature(s) for s in shingle_sets(batch["text"], words)]
+            return {"doc_id": batch["doc_id"], "_digest": batch["_digest"], "h1": [x for x, _ in names], "h2": [y for _, y in names]}
+
+        return work
+
+    rows = rows.withColumn("_digest", F.sha2("text", 256))
+    return map_rows(rows, make, "doc_id long, _digest string, h1 long, h2 long", rows=64)

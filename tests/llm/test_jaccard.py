@@ -179,6 +179,14 @@ def test_one_of_each(spark, odd):
     assert 1 not in ids and ids.count(0) == 2 and None in ids and ids.count(3) == 2
 
 
+def test_an_id_with_two_texts(spark):
+    first, second = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, first), (5, first + " x"), (5, second), (7, second + " y"), (9, "no other has this text at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.component_id) for r in J.similar_documents(docs).collect()} == {(1, 1), (5, 1), (7, 1), (9, 9)}
+    assert sorted(map(tuple, J.one_of_each(docs).collect())) == [rows[0], rows[2], rows[4]]
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_components(spark, limit):
     r = random.Random(9)
