@@ -1,12 +1,12 @@
-"""Exact Jaccard similarity join of documents on word shingles, as a join in a metric space.
+"""Jaccard similarity join of documents on word shingles, by a prefix filter and distances inside regions.
 
-The Jaccard distance is a metric.  The join works in five steps:
+The Jaccard distance is a metric; the global steps 2 and 3 do not use that, steps 4 and 5 do.  The steps are:
 
 1.  Equal sets become one class.  Shingles that many classes share get a level by how common they are.
 2.  Pivots and windows.  The one-shingle sets are the pivots.  A set is equally near to all pivots it holds,
     so its order by (level, hash) decides the ties: rare pivots come first.  A set is replicated to the
-    first ``n - ceil(t n) + 1`` of its pivots.  That window is what the triangle inequality needs at a
-    similarity of t: two sets that are that near share a pivot inside both windows.
+    first ``n - ceil(t n) + 1`` of its pivots.  That window is the overlap bound of a prefix
+    filter at a similarity of t: two sets that are that near share a pivot inside both windows.
 3.  Where sets meet at a pivot, their sketches (one bit of each of 128 minimum hashes) are compared.  Sets of
     similarity 0.8 differ in 13 bits on average and in more than SKETCH_BITS with a chance of 1.3e-10; such a
     link is lost unless other links connect the two.  Sets that merely share a passage differ in about 60.
