@@ -1,19 +1,20 @@
 """Best-fit packing of token pieces into sequences of fixed capacity.
 
 Lengths lie between 1 and the capacity, so the whole problem is a histogram of at most ``capacity``
-numbers.  It is solved once on the driver by exact-complement hashing (single lengths, then pairs,
-then triples that fill a sequence exactly, each taken as often as the available counts allow) and
-best fit for the rest.  The solution is a list of patterns with multiplicities.  The rows never leave
-the executors: each piece gets its rank among the pieces of its length and reads its sequence and
+numbers.  It is solved once on the driver by exact complements (single lengths, pairs and triples whose
+sums fill the gap of an open sequence exactly, looked up by their value and taken as often as the available
+counts allow) and best fit for the rest.  The solution is a list of patterns with multiplicities.  The rows
+never leave the executors: each piece gets its rank among the pieces of its length and reads its sequence and
 offset from the pattern that owns that rank.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from functools import lru_cache
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,89 +25,87 @@ from .pretokens import FastIds
 
 #: A pattern: the lengths that share one sequence, and how many sequences look like that.
 Pattern = tuple[tuple[int, ...], int]
+#: Triples fill gaps once lengths are at most the capacity over this.
+TRIPLES = 4
 
 
-def _exact_singles(left: list[int], capacity: int) -> list[Pattern]:
-    n, left[capacity] = left[capacity], 0
-    return [((capacity,), n)] if n else []
-
-
-def _exact_pairs(left: list[int], capacity: int) -> list[Pattern]:
-    out = []
-    for a in range(capacity - 1, (capacity - 1) // 2, -1):
-        b = capacity - a
-        n = left[a] // 2 if a == b else min(left[a], left[b])
-        if n:
-            left[a] -= n
-            left[b] -= n
-            out.append(((a, b), n))
-    return out
-
-
-def _exact_triples(left: list[int], capacity: int) -> list[Pattern]:
-    """For each pair of lengths the complement is looked up by its value, under the counts left."""
-    out = []
-    for a in range(capacity - 2, 0, -1):
-        b = min(a, capacity - a - 1)
-        while left[a] and 2 * b >= capacity - a:
-            c = capacity - a - b
-            if left[b] and left[c]:
-                need: dict[int, int] = {}
-                for x in (a, b, c):
-                    need[x] = need.get(x, 0) + 1
-                n = min(left[x] // k for x, k in need.items())
-                if n:
-                    for x, k in need.items():
-                        left[x] -= n * k
-                    out.append(((a, b, c), n))
-            b -= 1
-    return out
+class _Filling:
+    """Open sequences by the room left in them, the lengths that wait, and the sums these can make.
 
+    Equal sequences are one group, so the work follows the number of lengths and not that of pieces.
+    """
 
-def _best_fit(left: list[int], capacity: int) -> list[Pattern]:
-    """Best fit decreasing on groups of equal sequences instead of single ones."""
-    groups: dict[int, list[list]] = {}
-    for length in range(capacity, 0, -1):
-        n, left[length] = left[length], 0
-        while n:
-            room = min((r for r, g in groups.items() if r >= length and g), default=None)
-            if room is None:
-                pattern, count, room = (), n, capacity
-            else:
-                pattern, count = groups[room].pop()
-            each = room // length
-            full = min(count, n // each)
-            if full:
-                groups.setdefault(room - each * length, []).append([pattern + (length,) * each, full])
-                n -= full * each
-                count -= full
-            elif n:  # the last sequence takes what is left
-                groups.setdefault(room - n * length, []).append([pattern + (length,) * n, 1])
-                count -= 1
-                n = 0
-            if count and pattern:
-                groups.setdefault(room, []).append([pattern, count])
-    return [(tuple(p), c) for g in groups.values() for p, c in g]
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in histogram.items():
+            if not 1 <= length <= capacity:
+                raise ValueError(f"a length of {length} does not fit a capacity of {capacity}")
+            self.left[length] += n
+        self.groups: dict[int, list[Pattern]] = {}
+
+    def rooms(self, least: int) -> list[int]:
+        """Rooms that hold this length, the smallest first; an empty sequence if there is none."""
+        return sorted(r for r in self.groups if r >= least) or [self.capacity]
+
+    def place(self, room: int, parts: tuple[int, ...]) -> None:
+        """Put ``parts`` into as many sequences of this room as their counts allow."""
+        need = Counter(parts)
+        n = min(int(self.left[x]) // k for x, k in need.items())
+        pattern, open_ = self.groups[room].pop() if room in self.groups else ((), n)
+        n = min(n, open_)
+        for x, k in need.items():
+            self.left[x] -= n * k
+        for lengths, count, own in ((pattern + parts, n, room - sum(parts)), (pattern, open_ - n, room)):
+            if count and lengths:
+                self.groups.setdefault(own, []).append((lengths, count))
+        if not self.groups.get(room, True):
+            del self.groups[room]
+
+    def best(self, length: int) -> tuple[int, tuple[int, ...]]:
+        """The smallest room that holds the length, and as many copies as it holds."""
+        room = self.rooms(length)[0]
+        return room, (length,) * min(room // length, int(self.left[length]))
+
+    def pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """Two waiting lengths up to ``longest`` with this sum, the most even ones."""
+        longer = np.arange((total + 1) // 2, min(total - 1, longest) + 1)
+        for x in longer[(self.left[longer] > 0) & (self.left[total - longer] > 0)]:
+            if 2 * x != total or self.left[x] > 1:
+                return int(x), int(total - x)
+        return None
+
+    def exact(self, length: int) -> tuple[int, tuple[int, ...]] | None:
+        """A room and one, two or three waiting lengths that fill it, ``length`` being the longest of them."""
+        rooms = self.rooms(length)
+        if length in self.groups:
+            return length, (length,)
+        for room in reversed(rooms):
+            rest = room - length
+            if 0 < rest <= length and self.left[rest] > (rest == length):
+                return room, (length, rest)
+        if length > self.capacity // TRIPLES:
+            return None
+        self.left[length] -= 1  # it is taken, so the pair may not use it again
+        found = ((room, self.pair(room - length, length)) for room in reversed(rooms) if room - length > 1)
+        room, two = next((f for f in found if f[1]), (0, None))
+        self.left[length] += 1
+        return (room, (length, *two)) if two else None
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns that hold every length of ``histogram`` exactly as often as it occurs.
 
-    Three depths of exact filling are tried (up to triples, up to pairs, singles only) with best fit
-    for the rest, and the one with the fewest sequences wins; the deepest wins ties.
+    Lengths are taken from the longest to the shortest.  As long as some open room is the sum of the length and
+    at most two that wait, it is filled exactly, as often as the counts allow: a single length first, then a
+    pair, then a triple.  What has no exact complement goes where it fits best.  Triples begin at a quarter of
+    the capacity: earlier they would use up small lengths that longer ones need.
     """
-    plans = []
-    for steps in ((_exact_pairs, _exact_triples), (_exact_pairs,), ()):
-        left = [0] * (capacity + 1)
-        for length, n in histogram.items():
-            if not 1 <= length <= capacity:
-                raise ValueError(f"a length of {length} does not fit a capacity of {capacity}")
-            left[length] += n
-        plan = _exact_singles(left, capacity)
-        for step in steps:
-            plan += step(left, capacity)
-        plans.append(plan + _best_fit(left, capacity))
-    return min(plans, key=lambda p: sum(n for _, n in p))
+    state = _Filling(histogram, capacity)
+    for length in range(capacity, 0, -1):
+        while state.left[length]:
+            state.place(*(state.exact(length) or state.best(length)))
+    return [p for own in state.groups.values() for p in own]
 
 
 def _ranges(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:

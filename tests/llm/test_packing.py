@@ -42,6 +42,30 @@ def test_exact_complements_come_first():
     assert plan_packing({5: 1, 3: 1, 2: 1}, 10) == [((5, 3, 2), 1)]
 
 
+def test_exact_triples_fill_gaps():
+    # Best fit alone would put 200, 100 and 20 beside 700.
+    assert plan_packing({700: 1, 200: 1, 100: 1, 24: 1, 20: 1}, 1024) == [((700, 200, 100, 24), 1), ((20,), 1)]
+    assert plan_packing({700: 3, 200: 3, 100: 3, 24: 3}, 1024) == [((700, 200, 100, 24), 3)]
+
+
+def test_triples_reach_the_plan_of_a_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lengths = {r["length"]: r["count"] for r in packing.token_pieces(docs).groupBy("length").count().collect()}
+    taken, place = [], packing._Filling.place
+
+    def watched(state, room, parts):
+        taken.append((room, parts))
+        place(state, room, parts)
+
+    packing._Filling.place = watched
+    try:
+        plan = plan_packing(lengths, 1024)
+    finally:
+        packing._Filling.place = place
+    assert any(len(parts) == 3 and sum(parts) == room for room, parts in taken)
+    assert sum(n for _, n in plan) <= 193
+
+
 def test_too_long_a_length_is_an_error():
     with pytest.raises(ValueError):
         plan_packing({11: 1}, 10)
