@@ -149,25 +149,35 @@ def _long_word(word: str, vocabulary: Lattice, probability: np.ndarray) -> np.nd
 def _expected(words: list[str], counts: np.ndarray, vocabulary: Lattice, probability: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece, by word counts of each language."""
     total = np.zeros_like(probability)
-    for at in range(0, len(words), BLOCK):
-        own = words[at : at + BLOCK]
+    log_p = np.log(probability)
+
+    def add(own: list[str], n: np.ndarray) -> None:
         word, start, end, piece, size = vocabulary.edges(own)
         ahead = _forward(word, start, end, piece, size, probability)
         # Backward sums are forward sums of the mirrored words.
         back = _forward(word, size[word] - end, size[word] - start, piece, size, probability)
         whole = ahead[np.arange(len(own)), size]
         faint = _faint(whole)
-        whole[faint] = np.inf  # their uses are added below
-        use = ahead[word, start] * probability[piece] * back[word, size[word] - end] / whole[word]
-        _add_uses(total, piece, use * counts[at : at + BLOCK][word])
+        whole[faint] = np.inf  # their uses are added in logarithms
+        _add_uses(total, piece, ahead[word, start] * probability[piece] * back[word, size[word] - end] / whole[word] * n[word])
         if len(faint):
-            word, start, end, piece, size = vocabulary.edges([own[i] for i in faint])
-            log_p = np.log(probability)
-            ahead = _forward(word, start, end, piece, size, log_p, logs=True)
-            back = _forward(word, size[word] - end, size[word] - start, piece, size, log_p, logs=True)
-            whole = ahead[np.arange(len(faint)), size]
-            use = np.exp(ahead[word, start] + log_p[piece] + back[word, size[word] - end] - whole[word])
-            _add_uses(total, piece, use * counts[at : at + BLOCK][faint][word])
+            add_faint([own[i] for i in faint], n[faint])
+
+    def add_faint(own: list[str], n: np.ndarray) -> None:
+        word, start, end, piece, size = vocabulary.edges(own)
+        ahead = _forward(word, start, end, piece, size, log_p, logs=True)
+        back = _forward(word, size[word] - end, size[word] - start, piece, size, log_p, logs=True)
+        whole = ahead[np.arange(len(own)), size]
+        use = np.exp(ahead[word, start] + log_p[piece] + back[word, size[word] - end] - whole[word])
+        _add_uses(total, piece, use * n[word])
+
+    short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+    for at in range(0, len(short), BLOCK):
+        part = short[at : at + BLOCK]
+        add([words[i] for i in part], counts[part])
+    for i, w in enumerate(words):
+        if len(w) > TOGETHER:
+            add_faint([w], counts[i : i + 1])
     return total
 
 
@@ -192,7 +202,7 @@ def fit_texts(samples: list[tuple[str, str]], vocabulary_path: str, rounds: int
     counters = {lang: Counter() for lang in languages}
     for lang, text in samples:
         counters[lang].update(FIND_WORDS(text.lower()))
-    words = [w for w in dict.fromkeys(w for c in counters.values() for w in c) if len(w) <= TOGETHER]
+    words = list(dict.fromkeys(w for c in counters.values() for w in c))
     counts = np.array([[counters[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     probability = np.full((len(vocabulary), len(languages)), 1 / len(vocabulary))
     for _ in range(rounds if words else 0):
@@ -300,7 +310,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that are not ``und`` and score at least this much; columns unchanged."""
+    """The rows of ``docs`` that are not ``und`` and score at least this much; columns unchanged.
+
+    Null texts, texts without a letter and, if the model has no language, all texts go.  Rows with a null id and
+    repeated rows are judged by their text like all others; an empty table stays empty.
+    """
     prepare(docs.sparkSession)
 
     def make():

@@ -132,3 +132,43 @@ def test_a_run_of_unknown_letters_leaves_the_document(run, spark, model):
     row = langid.identify(docs, model).first()
     assert row.lang_pred == "en" and 0.5 < row.score <= 1
     assert langid.keep_identified(docs, model).count() == 1
+
+
+@pytest.mark.parametrize("letter", ["ກ", "\U0001d41a", "中"])
+def test_words_of_unseen_letters_of_every_length(letter, model):
+    vocabulary = langid.lattice(PATH)
+    words = [letter * n for n in range(1, 61)]
+    scores = langid.word_scores(words, vocabulary, model.probability)
+    assert np.isfinite(scores).all()
+    for n, row in enumerate(scores, 1):
+        assert row == pytest.approx(langid._long_word(letter * n, vocabulary, model.probability))
+    for n in range(1, 9):
+        assert scores[n - 1] == pytest.approx(every_segmentation(letter * n, model))
+
+
+def test_unseen_words_of_every_length_inside_texts(spark, model):
+    texts = [f"the house and the garden {'ກ' * n} are here with the people" for n in range(1, 61)] + ["中" * n for n in range(1, 61)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = langid.identify(docs, model).collect()
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert all(r.lang_pred == "en" and r.score > 0.5 for r in rows if r.doc_id < 60)
+    assert langid.keep_identified(docs, model).count() == len(texts)
+
+
+def test_long_words_are_fitted(model):
+    word = "donaudampfschifffahrtsgesellschaftskapitänsmütze"
+    assert len(word) > langid.TOGETHER
+    fitted = langid.fit_texts([("de", word), ("en", "ship")], PATH)
+    vocabulary = langid.lattice(PATH)
+    use = langid._expected([word], np.array([[3.0, 0.0]]), vocabulary, fitted.probability)
+    lengths = np.array([len(p) for p in vocabulary.pieces] + [1])
+    assert use[:, 0] @ lengths == pytest.approx(3.0 * (len(word) + 1)) and not use[:, 1].any()
+
+
+def test_verdicts_like_brute_force(spark, model):
+    texts = ["house garten", "la maison", "das haus", "x y", "ville town"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(docs, model).collect():
+        total = sum(every_segmentation(w, model) for w in texts[r.doc_id].split())
+        assert r.lang_pred == model.languages[int(total.argmax())]
+        assert r.score == pytest.approx(np.exp(total.max()) / np.exp(total).sum())
