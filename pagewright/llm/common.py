@@ -91,6 +91,23 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A key is hot from HOT rows on if it also has more than one of MOST_HOT parts of all rows: so many at most can be hot.
+HOT, MOST_HOT = 500, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``left`` joined (left outer) to ``right``, a stored table with one row for each key and its number of ``members``.
+
+    Hot keys are broadcast, being at most MOST_HOT; the rest is broadcast if small and shuffles if not, so no
+    task gathers a hot key.  ``rows`` is the number of rows of ``left`` or more.
+    """
+    hot = F.col("members") > max(HOT, rows // MOST_HOT)
+    few = right.filter(hot).withColumn("_hot", F.lit(True))
+    first = left.join(F.broadcast(few), keys, "left")
+    rest = first.filter("_hot IS NULL").select(*left.columns).join(broadcast_if_small(right.filter(~hot)), keys, "left")
+    return first.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str, rows: int = 128) -> DataFrame:
     """The rows of ``df`` whose ``column`` passes, all columns as they are.
 

@@ -1,29 +1,28 @@
-"""Jaccard similarity join of documents on word shingles, by a prefix filter and distances inside regions.
+"""Jaccard similarity join of documents on word shingles.
 
-The Jaccard distance is a metric; the global steps 2 and 3 do not use that, steps 4 and 5 do.  The steps are:
+The Jaccard distance is a metric.  Documents that share no shingle are all equally far from each other, so no pivot
+tells them apart; a first step therefore finds the regions that links cannot leave, and each region is joined by pivots:
 
 1.  Equal sets become one class.  Shingles that many classes share get a level by how common they are.
-2.  Pivots and windows.  The one-shingle sets are the pivots.  A set is equally near to all pivots it holds,
-    so its order by (level, hash) decides the ties: rare pivots come first.  A set is replicated to the
-    first ``n - ceil(t n) + 1`` of its pivots.  That window is the overlap bound of a prefix
-    filter at a similarity of t: two sets that are that near share a pivot inside both windows.
-3.  Where sets meet at a pivot, their sketches (one bit of each of 128 minimum hashes) are compared.  Sets of
-    similarity 0.8 differ in 13 bits on average and in more than SKETCH_BITS with a chance of 1.3e-10; such a
-    link is lost unless other links connect the two.  Sets that merely share a passage differ in about 60.
-    Sets that pass form regions, transitively.
-4.  Inside a region its own counts are known, so the windows are taken anew in exact order of rarity, and
-    the region falls into smaller regions, recursively.  What does not fall apart is joined by distances
-    to a pivot: what lies within the threshold is linked through it, and of the rest only documents whose
-    distances to the pivot differ by no more than the threshold can be linked.  Links are decided on the
-    whole sets.
-5.  A region too large for one task is joined in blocks: distances to a few pivots connect its core, and
-    the documents outside the core are replicated to all blocks.
+2.  Meetings.  A set has its shingles in the order of (level, hash).  Of two sets that are linked, the first
+    ``n - ceil(t n) + 1`` shingles share one at least.  Sets that meet at a shingle form a region, transitively,
+    if their sketches (one bit of each of 256 minimum hashes) are near enough.  A pair at the threshold fails that
+    with a chance below 2^-64, the chance that two given shingles have the same 64-bit hash.
+3.  Voronoi cells.  Some documents of a region are its pivots, and the distances to them are computed on whole sets.
+    What lies within the threshold of a pivot is linked with it.  Every document belongs to the cell of its nearest
+    pivot, or to the remote cell if that is too far.  By the triangle inequality two linked documents
+    of different cells have distances to any pivot that differ by no more than the threshold, so a document is
+    replicated to an earlier cell if that pivot is at most twice the threshold further away than its own.
+4.  Cells are joined in the same way, recursively, with pivots of their own; a small one in memory, where also the
+    windows of step 2 are taken anew in exact order of rarity.  What no pivot divides is joined in blocks.
+    Documents known to be connected are not compared with each other.
 
 The links found span the same components as all links.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from math import comb
@@ -33,24 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_table, map_rows, prepare, stored, whole_partition, write_table
+from .common import broadcast_if_small, drop_table, join_hot, map_rows, prepare, stored, whole_partition, write_table
 from .graph import connected_components, smallest_reachable
 
 #: Shingles gathered in a task before they are counted, and pivots before they are combined: bounds its memory.
 COUNTED, CHUNK = 1_000_000, 500_000
 #: Most shingles that get a level of their own.  A bound of memory; any order of pivots is exact.
 MOST_LEVELS = 400_000
-#: Bits of a sketch in which linked sets may differ at 80 percent or more (sketch_bits has more for less), and the
-#: most chance that a pair at the threshold exceeds them.  A set whose sketch is within SKETCH_NEAR bits of another
-#: one at the same pivot of the same chunk is represented by it.  Across chunks both sets may be represented,
-#: so the bound there is wider by twice as much.
-SKETCH_BITS, SKETCH_MISS, SKETCH_NEAR = 38, 2e-10, 4
-#: Rows that are compared together at the pivots, and the group size from which comparison goes by leaders.
+#: Minimum hashes of a sketch; the most chance that a pair at the threshold differs in more bits than allowed; and the
+#: bits within which a sketch is represented by another one at the same pivot of the same chunk.  Across chunks both
+#: sets may be represented, so the bound there is wider by twice as much.
+SKETCH, SKETCH_MISS, SKETCH_NEAR = 256, 2.0**-64, 4
+#: Rows that are compared together at a shingle, and the group size from which comparison goes by leaders.
 MEETING_ROWS, MEETING_GROUP = 50_000, 256
-#: A region with more sets or shingles than this is joined in blocks.
+#: A shingle that 2 to this power classes hold or more is dealt to several tasks, as pairs of blocks.
+MEETING_LEVEL = 17
+#: A region with more sets or shingles than this is divided by pivots across tasks.
 REGION_SETS, REGION_SHINGLES = 5_000, 3_000_000
-#: Pivots of such a region, and the most shingles that one may have.
-PIVOTS, PIVOT_SHINGLES = 8, 100_000
+#: Pivots of a region, the most shingles that one may have, and the size from which memory takes several at once.
+PIVOTS, PIVOT_SHINGLES, SEVERAL = 8, 100_000, 64
+#: Cells are joined as such if each has at most this share of its region's sets, and all together this many times.
+SHRINK, GROW = 0.8, 2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,7 +61,7 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _STEP = int(_RNG.integers(0, 1 << 62)) * 2 + 1
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_ORDERS = _RNG.integers(0, 1 << 63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ORDERS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -225,38 +227,41 @@ def _levels(counts: DataFrame) -> _Levels:
     return _Levels(keys, rows.column("level").to_numpy().astype(np.uint8))
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, int]:
-    """One bit of the minimum hash in each of 128 orders, as two unsigned numbers."""
-    low = np.full(128, np.iinfo(np.uint64).max)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of the minimum hash in each of 256 orders, as four numbers."""
+    low = np.full(SKETCH, np.iinfo(np.uint64).max)
     spread = shingles ^ (shingles >> np.uint64(32))
-    for at in range(0, len(spread), 512):
-        np.minimum(low, (spread[at : at + 512, None] * _ORDERS).min(axis=0), out=low)
-    bits = np.packbits((low >> np.uint64(20) & np.uint64(1)).astype(np.uint8))
-    return int.from_bytes(bits[:8].tobytes(), "little"), int.from_bytes(bits[8:].tobytes(), "little")
+    for at in range(0, len(spread), 256):
+        np.minimum(low, (spread[at : at + 256, None] * _ORDERS).min(axis=0), out=low)
+    return np.packbits((low >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
 
 
+@functools.lru_cache
 def sketch_bits(percent: int) -> int:
     """Bits in which sketches of linked sets may differ: a bit differs with a chance of half the distance.
 
     Low thresholds give bounds that nearly all pairs pass; the sketches then no longer divide, but lose nothing.
     """
-    p, past, most = (1 - percent / 100) / 2, 0.0, 128
-    while most > SKETCH_BITS and (past := past + comb(128, most) * p**most * (1 - p) ** (128 - most)) <= SKETCH_MISS:
+    p, past, most = (1 - percent / 100) / 2, 0.0, SKETCH
+    while most and (past := past + comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)) <= SKETCH_MISS:
         most -= 1
     return most
 
 
-def _node(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+def _node(keys: np.ndarray) -> np.ndarray:
     """64-bit name of a sketch.  Equal names only put sets into one region, where they are compared whole."""
-    return _signed(_mixed(k1 * _PLACE[1] + _mixed(k2)))
+    out = keys[:, 0]
+    for k in range(1, keys.shape[1]):
+        out = _mixed(out * _PLACE[k] + _mixed(keys[:, k]))
+    return _signed(out)
 
 
-def _apart(k1: np.ndarray, k2: np.ndarray, i, j) -> np.ndarray:
+def _apart(keys: np.ndarray, i, j) -> np.ndarray:
     """Differing bits of sketches i and j."""
-    return np.bitwise_count(k1[i] ^ k1[j]).astype(np.int16) + np.bitwise_count(k2[i] ^ k2[j])
+    return np.bitwise_count(keys[i] ^ keys[j]).sum(axis=-1, dtype=np.int16)
 
 
-def meeting_edges(pivot: np.ndarray, k1: np.ndarray, k2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def meeting_edges(pivot: np.ndarray, keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (by number) of one pivot whose sketches differ in at most ``most`` bits.
 
     The rows are sorted by pivot.  Pairs that are connected anyway may be missing: small groups are compared
@@ -272,7 +277,7 @@ def meeting_edges(pivot: np.ndarray, k1: np.ndarray, k2: np.ndarray, most: int)
         step += 1
         at = at[at + step < len(pivot)]
         at = at[pivot[at] == pivot[at + step]]
-        near = at[_apart(k1, k2, at, at + step) <= most]
+        near = at[_apart(keys, at, at + step) <= most]
         left.append(near)
         right.append(near + step)
     for start, size in zip(starts[sizes > MEETING_GROUP], sizes[sizes > MEETING_GROUP]):
@@ -282,7 +287,7 @@ def meeting_edges(pivot: np.ndarray, k1: np.ndarray, k2: np.ndarray, most: int)
             if len(labels) == 1:
                 break
             lead = int(np.flatnonzero(place != np.bincount(place).argmax())[0])
-            near = _apart(k1, k2, open_, open_[lead]) <= most
+            near = _apart(keys, open_, open_[lead]) <= most
             left.append(np.full(int(near.sum()) - 1, open_[lead]))
             right.append(open_[near & (np.arange(len(open_)) != lead)])
             part[np.isin(part, part[near])] = part[lead]
@@ -290,31 +295,52 @@ def meeting_edges(pivot: np.ndarray, k1: np.ndarray, k2: np.ndarray, most: int)
     return np.concatenate(left), np.concatenate(right)
 
 
+def spread_pivots(pivot: np.ndarray, node: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of each task that a row of a pivot goes to.
+
+    A pivot with one block is its own key.  With several, the node gives the row's block, and the row goes to
+    every pair that holds this block, so any two rows of the pivot meet under some key.
+    """
+    row = np.repeat(np.arange(len(pivot)), blocks)
+    first = np.cumsum(blocks) - blocks
+    other = np.arange(len(row)) - first[row]
+    many = blocks[row].astype(np.uint64)
+    own = node.view(np.uint64)[row] % many
+    low, high = np.minimum(own, other.astype(np.uint64)), np.maximum(own, other.astype(np.uint64))
+    salted = _mixed(pivot[row] + _mixed((low * many + high + np.uint64(1)) * _PLACE[0]))
+    return np.where(many > 1, salted, pivot[row]), row
+
+
 def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """Rows of three kinds.  0: ``a = pivot, b, c = sketch`` of a class in whose window the pivot is; of classes
+    """Rows of three kinds.  0: ``a = pivot, b, c, d, e = sketch`` of a class in whose window the pivot is; of classes
     of a chunk with almost equal sketches one stands for all.  1: ``a, b``: nodes of a chunk that meet at a
     pivot.  2: ``a = class, b = node``."""
 
-    def combine(held: list[np.ndarray], marks: list[tuple[int, int]], names: list[int]) -> dict:
-        own = np.array(marks, np.uint64).reshape(-1, 2)
-        node = _node(own[:, 0], own[:, 1])
+    def combine(held: list[np.ndarray], marks: list[np.ndarray], names: list[int]) -> dict:
+        own = np.array(marks)
+        node = _node(own)
         pivot = np.concatenate(held)
         row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        order = np.lexsort((own[row, 1], own[row, 0], pivot))
+        order = np.lexsort((own[row, 0], pivot))
         pivot, row = pivot[order], row[order]
-        k1, k2 = own[row, 0], own[row, 1]
-        x, y = meeting_edges(pivot, k1, k2, sketch_bits(percent) + SKETCH_NEAR)
+        keys = own[row]
+        x, y = meeting_edges(pivot, keys, sketch_bits(percent) + SKETCH_NEAR)
         edges = np.unique(np.stack([node[row[x]], node[row[y]]]), axis=1)
         # A row goes if the first row of its pivot is almost equal to it.
         new = np.concatenate([[True], pivot[1:] != pivot[:-1]])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        stays = new | (_apart(k1, k2, np.arange(len(row)), first) > SKETCH_NEAR)
-        n, m, k = int(stays.sum()), edges.shape[1], len(names)
+        stays = new | (_apart(keys, np.arange(len(row)), first) > SKETCH_NEAR)
+        pivot, keys, row = pivot[stays], keys[stays], row[stays]
+        level = levels.value.of(pivot).astype(np.int64)
+        pivot, dealt = spread_pivots(pivot, node[row], 1 << np.maximum(level - MEETING_LEVEL, 0))
+        keys = keys[dealt]
+        n, m, k = len(pivot), edges.shape[1], len(names)
+        none = np.zeros(m + k, np.int64)
         return {
             "kind": np.repeat(np.array([0, 1, 2], np.int32), [n, m, k]),
-            "a": np.concatenate([_signed(pivot[stays]), edges[0], np.array(names, np.int64)]),
-            "b": np.concatenate([_signed(k1[stays]), edges[1], node]),
-            "c": np.concatenate([_signed(k2[stays]), np.zeros(m + k, np.int64)]),
+            "a": np.concatenate([_signed(pivot), edges[0], np.array(names, np.int64)]),
+            "b": np.concatenate([_signed(keys[:, 0].copy()), edges[1], node]),
+            **{c: np.concatenate([_signed(keys[:, i].copy()), none]) for i, c in enumerate("cde", 1)},
         }
 
     def work(batches):
@@ -339,37 +365,36 @@ def _meetings(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
         if held:
             yield combine(held, marks, names)
 
-    return whole_partition(docs, work, "kind int, a long, b long, c long")
+    return whole_partition(docs, work, "kind int, a long, b long, c long, d long, e long")
 
 
 def _meeting_edges(postings: DataFrame, percent: int = 80) -> DataFrame:
     """Nodes that meet at a pivot across all chunks: ``a, b``, a forest for each stretch of rows."""
 
     def work(batches):
-        held, rows = [], 0
+        held, rows, full = [], 0, MEETING_ROWS
 
         def flush(cols: list[np.ndarray]) -> dict:
-            pivot, k1, k2 = cols
-            x, y = meeting_edges(pivot, k1, k2, sketch_bits(percent) + 2 * SKETCH_NEAR)
-            node = _node(k1, k2)
+            keys = np.stack(cols[1:], axis=1)
+            x, y = meeting_edges(cols[0], keys, sketch_bits(percent) + 2 * SKETCH_NEAR)
+            node = _node(keys)
             nodes, low = smallest_reachable(node[x], node[y])
             return {"a": nodes[nodes != low], "b": low[nodes != low]}
 
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(5)])
             rows += batch.num_rows
-            if rows >= MEETING_ROWS:
+            if rows >= full:
                 cols = [np.concatenate(c) for c in zip(*held)]
                 last = np.searchsorted(_signed(cols[0]), _signed(cols[0])[-1])  # its pivot may go on
                 if last:
                     yield flush([c[:last] for c in cols])
-                    held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
-                else:
-                    held = [cols]
+                held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
+                full = max(MEETING_ROWS, 2 * rows)
         if held:
             yield flush([np.concatenate(c) for c in zip(*held)])
 
-    dealt = postings.select("a", "b", "c").repartition("a").sortWithinPartitions("a")
+    dealt = postings.select(*"abcde").repartition("a").sortWithinPartitions("a")
     return whole_partition(dealt, work, "a long, b long")
 
 
@@ -410,32 +435,54 @@ def region_links(sets: list[np.ndarray], percent: int, joined: np.ndarray | None
         cuts = np.flatnonzero(np.diff(low[order])) + 1
         return [own[nodes[part]] for part in np.split(order, cuts) if len(part) > 1]
 
-    def by_pivots(open_: np.ndarray) -> None:
-        while len(open_) > 1:
-            labels, place = np.unique(root[open_], return_inverse=True)
-            if len(labels) == 1:
-                return
-            # A pivot outside the largest component, of middle size among those.
-            outside = np.flatnonzero(place != np.bincount(place).argmax())
-            p = outside[np.argsort(size_of[open_[outside]], kind="stable")[len(outside) // 2]]
+    reach = 1 - percent / 100
+
+    def shares(pivot: int, rest: np.ndarray) -> np.ndarray:
+        """Distances of ``rest`` to a pivot; what is linked with it is joined."""
+        n = size_of[rest]
+        both = _linked(sets[pivot], np.concatenate([sets[i] for i in rest]), np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        either = n + size_of[pivot] - both
+        for x in rest[100 * both >= percent * either]:
+            if root[x] != root[pivot]:
+                out.append((int(pivot), int(x)))
+                a, b = sorted((root[x], root[pivot]))
+                root[root == b] = a
+        return 1 - both / either
+
+    def outside(open_: np.ndarray) -> np.ndarray:
+        """Numbers in ``open_`` of what is not in its largest component, by size of the sets; empty if there is one only."""
+        labels, place = np.unique(root[open_], return_inverse=True)
+        if len(labels) < 2:
+            return np.empty(0, np.int64)
+        found = np.flatnonzero(place != np.bincount(place).argmax())
+        return found[np.argsort(size_of[open_[found]], kind="stable")]
+
+    def by_cells(own: np.ndarray) -> list[np.ndarray]:
+        """Voronoi cells of several pivots with their visitors; none once all is connected."""
+        distances, chosen = [], []
+        while len(chosen) < PIVOTS:
+            choice = outside(own)
+            if not len(choice):
+                return []
+            choice = choice[~np.isin(choice, chosen)]
+            if not len(choice):
+                break
+            chosen.append(choice[len(choice) // 2])
+            distances.append(shares(own[chosen[-1]], own))
+        cells = [own[c] for c in voronoi_cells(np.array(distances).T, reach)]
+        return [c for c in cells if len(c) > 1]
+
+    def one_by_one(open_: np.ndarray) -> None:
+        while len(choice := outside(open_)):
+            p = choice[len(choice) // 2]
             pivot, rest = open_[p], np.delete(open_, p)
-            n = size_of[rest]
-            flat = np.concatenate([sets[i] for i in rest])
-            both = _linked(sets[pivot], flat, np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            either = n + size_of[pivot] - both
-            for x in rest[100 * both >= percent * either]:
-                if root[x] != root[pivot]:
-                    out.append((int(pivot), int(x)))
-                    a, b = sorted((root[x], root[pivot]))
-                    root[root == b] = a
+            distance = shares(pivot, rest)
             # Two sets whose distances to the pivot differ by more than the threshold are too far apart, and
-            # sets already connected need no comparison.  The rounding slack only lets more through.
-            distance = 1 - both / either
-            reach = 1 - percent / 100 + 1e-9
+            # sets already connected need no comparison.
             order = np.argsort(distance, kind="stable")
             d, r = distance[order], root[rest[order]]
-            low = np.searchsorted(d, d - reach, side="left")
-            high = np.searchsorted(d, d + reach, side="right")
+            low = np.searchsorted(d, d - reach - SLACK, side="left")
+            high = np.searchsorted(d, d + reach + SLACK, side="right")
             # The window of x holds one component alone iff no change of component lies inside it.
             changes = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])])
             open_ = rest[order[changes[high - 1] != changes[low]]]
@@ -445,17 +492,40 @@ def region_links(sets: list[np.ndarray], percent: int, joined: np.ndarray | None
         own = todo.pop()
         if len(own) < 2 or len(np.unique(root[own])) == 1:
             continue
-        if len(own) == 2:
-            by_pivots(own)
-            continue
-        parts = split(own)
+        parts = split(own) if len(own) > 2 else [own]
         if len(parts) == 1 and len(parts[0]) == len(own):
-            by_pivots(own)
+            cells = by_cells(own) if len(own) > SEVERAL else [own]
+            if any(len(c) > SHRINK * len(own) for c in cells) or sum(map(len, cells)) > GROW * len(own):
+                one_by_one(own)
+            else:
+                todo += cells
         else:
             todo += parts
     return out
 
 
+#: Rounding slack of windows; it only lets more through.
+SLACK = 1e-9
+
+
+def voronoi_cells(distance: np.ndarray, reach: float) -> list[np.ndarray]:
+    """Rows of each Voronoi cell, with the visitors that links of length ``reach`` may need; the last cell is remote.
+
+    ``distance`` has a row for each document and a column for each pivot.  A document is at home with its nearest
+    pivot, or in the remote cell if that is further than ``1 - 2 reach``.  It visits every cell before its own whose
+    pivot is at most ``2 reach`` further away than its own one, and at most ``1 - reach`` away at all.  Two
+    documents within ``reach`` of each other then are both in the earlier one of their homes.
+    """
+    remote = 1 - 2 * reach
+    nearest = distance.min(axis=1)
+    home = np.where(nearest <= remote + SLACK, distance.argmin(axis=1), distance.shape[1])
+    window = np.minimum(nearest + 2 * reach, remote + reach) + SLACK
+    cells = []
+    for k in range(distance.shape[1]):
+        cells.append(np.flatnonzero((home == k) | ((home > k) & (distance[:, k] <= window))))
+    return [*cells, np.flatnonzero(home == distance.shape[1])]
+
+
 def _join_pieces(rows: DataFrame, percent: int) -> DataFrame:
     """Links inside each ``piece``; the rows (``piece, doc, known, shingles``) are dealt and sorted by it."""
 
@@ -487,76 +557,128 @@ def _join_pieces(rows: DataFrame, percent: int) -> DataFrame:
     return whole_partition(dealt.select("piece", "doc", "known", "shingles"), work, "a long, b long")
 
 
-def _pivot_links(rows: DataFrame, pivots: dict[int, list[tuple[int, bytes]]], percent: int) -> DataFrame:
-    """Links of each document of a large region with the region's pivots."""
+def _distances(rows: DataFrame, large: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``piece, doc, n, distance, linked`` of each row of the ``large`` pieces: the distances to the pivots of its
+    piece, and those that it is linked with.
+
+    The pivots are PIVOTS documents that a hash chooses in each piece.  A piece is dealt to as many tasks as it has
+    blocks, each of which gets its pivots before its rows, so neither pivots nor rows are ever gathered.
+    """
+    fits = F.when(F.col("n") <= PIVOT_SHINGLES, F.col("doc"))
+    chosen = rows.groupBy("piece").agg(
+        F.array_distinct(F.array_compact(F.array(*(F.min_by(fits, F.struct(fits.isNull(), F.xxhash64("doc", F.lit(turn * PIVOTS + k)))) for k in range(PIVOTS))))).alias("chosen")
+    )
+    chosen = stored(chosen.select("piece", F.explode("chosen").alias("doc")), "chosen-pivots")
+    pivots = rows.join(broadcast_if_small(chosen), ["piece", "doc"]).dropDuplicates(["piece", "doc"])
+    sizes = broadcast_if_small(large.select("piece", "blocks"))
+    deal = F.pmod(F.xxhash64("doc", F.lit("deal")), F.col("blocks")).cast("int")
+    columns = ["piece", "task", "kind", "doc", "n", "shingles"]
+    both = pivots.join(sizes, "piece").withColumn("kind", F.lit(0)).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = both.select(*columns).union(rows.join(sizes, "piece").withColumn("kind", F.lit(1)).withColumn("task", deal).select(*columns))
 
     def work(batches):
-        table = {r: [(d, np.frombuffer(s, np.uint64)) for d, s in p] for r, p in pivots.items()}
+        last, table = None, []
         for batch in batches:
-            a, b = [], []
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                s = np.frombuffer(r["shingles"], np.uint64)
-                for d, p in table[r["region"]]:
-                    both = len(np.intersect1d(p, s, assume_unique=True))
-                    if d != r["doc"] and 100 * both >= percent * (len(p) + len(s) - both):
-                        a.append(r["doc"])
-                        b.append(d)
-            yield {"a": a, "b": b}
+            for at in range(0, batch.num_rows, 512):
+                out = {"piece": [], "doc": [], "n": [], "distance": [], "linked": []}
+                part = batch.slice(at, 512).to_pydict()
+                for piece, task, kind, doc, n, shingles in zip(*(part[c] for c in columns)):
+                    s = np.frombuffer(shingles, np.uint64)
+                    if (piece, task) != last:
+                        last, table = (piece, task), []
+                    if kind == 0:
+                        table.append((doc, s))
+                        continue
+                    both = [len(np.intersect1d(p, s, assume_unique=True)) for _, p in table]
+                    either = [len(p) + n - x for (_, p), x in zip(table, both)]
+                    near = [d for (d, _), x, y in zip(table, both, either) if d != doc and 100 * x >= percent * y]
+                    for k, v in zip(out, (piece, doc, n, [1 - x / y for x, y in zip(both, either)], near)):
+                        out[k].append(v)
+                yield out
+
+    dealt = both.repartition("piece", "task").sortWithinPartitions("piece", "task", "kind", "doc")
+    return whole_partition(dealt, work, "piece string, doc long, n long, distance array<double>, linked array<long>")
+
+
+def _cell_numbers(reach: float):
+    """Column with the numbers of the cells of a row, as :func:`voronoi_cells` defines them."""
+    d, remote = F.col("distance"), 1 - 2 * reach
+    nearest = F.coalesce(F.array_min(d), F.lit(2.0))
+    home = F.when(nearest <= remote + SLACK, F.array_position(d, nearest).cast("int") - 1).otherwise(F.size(d))
+    window = F.least(nearest + 2 * reach, F.lit(remote + reach)) + SLACK
+    visits = F.transform(d, lambda x, k: F.when((k < home) & (x <= window), k))
+    return F.array_compact(F.concat(visits, F.array(home)))
 
-    return whole_partition(rows.select("region", "doc", "shingles"), work, "a long, b long")
 
+def _shape(rows: DataFrame, region_sets: int, region_shingles: int) -> DataFrame:
+    """``piece, sets, blocks`` of every piece; those with one block fit into a task."""
+    shape = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    small = (F.col("sets") <= region_sets) & (F.col("shingles") <= region_shingles)
+    blocks = F.ceil(F.greatest(F.col("sets") / (region_sets / 2), F.col("shingles") / (region_shingles / 2))).cast("int")
+    return shape.select("piece", "sets", F.when(small, 1).otherwise(blocks).alias("blocks"))
 
-def _large_regions(rows: DataFrame, large: DataFrame, percent: int, block: int) -> DataFrame:
-    """Exact links of regions that are too large for one task, see step 4 above.
 
-    ``rows`` has ``region, doc, n, shingles``; ``large`` has ``region, blocks`` and few rows.
+def _divide(sets: DataFrame, rows: DataFrame, large: DataFrame, percent: int, region_sets: int, region_shingles: int) -> list[DataFrame]:
+    """Links (``a, b``) of pieces that are too large for one task, see steps 3 and 4 above.
+
+    ``sets`` has ``doc, shingles``, ``rows`` has ``piece, doc, n, shingles`` of the large pieces and ``large`` has
+    ``piece, sets, blocks``.  Both are stored tables.
     """
-    spark = rows.sparkSession
-    lot = F.xxhash64("doc")
-    ranked = rows.join(F.broadcast(large.select("region", (F.col("sets") / (4 * PIVOTS)).alias("one_of"))), "region")
-    picked = ranked.filter(
-        (F.pmod(lot, F.greatest(F.col("one_of"), F.lit(1)).cast("long")) == 0) & (F.col("n") <= PIVOT_SHINGLES)
-    )
-    # About 4 * PIVOTS for each region by hash, of which the smallest ids are taken.  A region has a row here
-    # only for every REGION_SETS sets, so both the pivots and the broadcast tables stay small.
-    pivots: dict[int, list[tuple[int, bytes]]] = {r["region"]: [] for r in large.select("region").collect()}
-    for r in picked.select("region", "doc", "shingles").orderBy("doc").toLocalIterator():
-        if len(pivots[r["region"]]) < PIVOTS:
-            pivots[r["region"]].append((r["doc"], bytes(r["shingles"])))
-    own = rows.join(F.broadcast(large.select("region", "blocks")), "region")
-    star = stored(_pivot_links(own, pivots, percent), "pivot-links")
-    parts = connected_components(star)
-    placed = stored(
-        own.select("region", "doc", "blocks")
-        .join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-        .select("region", "doc", "blocks", F.coalesce("component", "doc").alias("known")),
-        "region-parts",
-    )
-    sizes = placed.groupBy("region", "known").agg(F.count(F.lit(1)).alias("n"))
-    core = sizes.groupBy("region").agg(F.max_by("known", F.struct("n", "known")).alias("core"))
-    placed = placed.join(F.broadcast(core), "region")
-    inside = F.col("known") == F.col("core")
-    open_blocks = placed.filter(~inside).groupBy("region").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("open_blocks")
-    )
-    # Every piece is one block of all documents with one block of those outside the core.
-    dealt = placed.join(F.broadcast(open_blocks), "region").withColumn(
-        "all_block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    )
+    links, turn = [], 0
+    block = max(1, region_sets // 2)
+    while large.limit(1).count():
+        measured = stored(_distances(rows, large, percent, turn), "cell-distances")
+        star = stored(measured.select(F.col("doc").alias("a"), F.explode("linked").alias("b")), "pivot-links")
+        links.append(star)
+        parts = connected_components(star).withColumnRenamed("node", "doc")
+        placed = measured.join(parts, "doc", "left").withColumn("known", F.coalesce("component", "doc")).drop("component", "linked")
+        placed = stored(placed, "region-parts")
+        sizes = placed.groupBy("piece", "known").agg(F.count(F.lit(1)).alias("n"))
+        core = sizes.groupBy("piece").agg(
+            F.max_by("known", F.struct("n", "known")).alias("core"), F.sum("n").alias("all"), F.max("n").alias("inside"), F.count(F.lit(1)).alias("parts")
+        )
+        core = stored(core.join(large, "piece"), "region-cores").withColumn("open", F.col("all") - F.col("inside"))
+        # Where few documents are outside the core, each block of the region is joined with all of them.
+        open_ = core.filter("parts > 1")
+        flat = open_.filter(F.col("open") <= block).withColumn("open_blocks", F.lit(1))
+        apart = open_.filter(F.col("open") > block)
+        cells = placed.join(broadcast_if_small(apart.select("piece", "sets")), "piece")
+        cells = cells.withColumn("cell", F.explode(_cell_numbers(1 - percent / 100)))
+        cells = cells.select(
+            F.concat_ws(".", "piece", "cell").alias("piece"), F.col("piece").alias("above"), "sets", "doc", "n", "known"
+        )
+        cells = stored(cells, "cells")
+        above = cells.groupBy("piece").agg(F.first("above").alias("above"), F.first("sets").alias("whole"))
+        shape = stored(_shape(cells, region_sets, region_shingles).join(above, "piece"), "cell-shapes")
+        whole_of = shape.groupBy(F.col("above").alias("piece")).agg(
+            F.max("sets").alias("largest"), F.sum("sets").alias("total"), F.max("blocks").alias("most"), F.max("whole").alias("whole")
+        )
+        crowded = (F.col("largest") > SHRINK * F.col("whole")) | (F.col("total") > GROW * F.col("whole"))
+        stuck = stored(whole_of.filter((F.col("most") > 1) & crowded).select("piece"), "undivided")
+        whole = apart.join(broadcast_if_small(stuck), "piece").withColumn("open_blocks", F.ceil(F.col("open") / block).cast("int"))
+        divided = cells.join(broadcast_if_small(stuck.withColumnRenamed("piece", "above")), "above", "left_anti")
+        fits = shape.filter("blocks = 1").select("piece")
+        pieces = divided.join(broadcast_if_small(fits), "piece").select("piece", "doc", "known")
+        pieces = pieces.union(_blocks(placed, flat.unionByName(whole)))
+        links.append(_join_pieces(stored(pieces, "pieces").join(sets.select("doc", "shingles"), "doc"), percent))
+        large = shape.filter("blocks > 1").join(broadcast_if_small(stuck.withColumnRenamed("piece", "above")), "above", "left_anti")
+        large = stored(large.select("piece", "sets", "blocks"), "large-cells")
+        rows = divided.join(broadcast_if_small(large.select("piece")), "piece").select("piece", "doc", "n")
+        rows = stored(rows.join(sets.select("doc", "shingles"), "doc").select("piece", "doc", "n", "shingles"), "cell-sets")
+        turn += 1
+    return links
+
+
+def _blocks(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``piece, doc, known``: every block of a region with every block of those outside its core."""
+    dealt = placed.join(broadcast_if_small(pieces.select("piece", "core", "blocks", "open_blocks")), "piece")
+    dealt = dealt.withColumn("all_block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("open_block", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("open_blocks")).cast("int"))
-    as_member = dealt.select(
-        "region", "doc", "known", "all_block", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)).alias("open_block")
-    )
-    as_open = dealt.filter(~inside).select(
-        "region", "doc", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("all_block"), "open_block"
-    )
-    pieces = as_member.union(as_open).distinct()
-    full = pieces.select(
-        "doc", "known", F.struct("region", "all_block", "open_block").cast("string").alias("piece")
-    ).join(rows.select("doc", "shingles"), "doc")
-    found = _join_pieces(full, percent)
-    return spark.createDataFrame([], "a long, b long").union(star).union(found)
+    member = dealt.withColumn("open_block", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)))
+    outside = dealt.filter(F.col("known") != F.col("core"))
+    outside = outside.withColumn("all_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.concat_ws("/", "piece", "all_block", "open_block")
+    return member.unionByName(outside).select(name.alias("piece"), "doc", "known").distinct()
 
 
 def similar_documents(docs: DataFrame, **options) -> DataFrame:
@@ -598,26 +720,23 @@ def _components(
     nodes = met.filter("kind = 2").select(F.col("a").alias("h1"), "b").distinct()
     regions = nodes.join(parts, "b", "left").select("h1", F.coalesce("component", "b").alias("region"))
 
-    classes = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
+    classes = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("members"))
+    classes = stored(classes, "classes")
     placed = stored(classes.join(regions, "h1").filter(F.col("doc").isNotNull()), "class-regions")
-    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("region")
-    wanted = stored(placed.join(shared, "region").withColumnRenamed("doc", "doc_id"), "region-documents")
+    shared = stored(placed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("region"), "shared-regions")
+    wanted = stored(placed.join(broadcast_if_small(shared), "region").withColumnRenamed("doc", "doc_id"), "region-documents")
     # Few documents are in a region; as long as their ids are few, the texts are filtered without a shuffle.
     sets = stored(_region_sets(rows.join(broadcast_if_small(wanted), "doc_id"), words), "region-sets")
 
-    shape = sets.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    large = shape.filter((F.col("sets") > region_sets) | (F.col("shingles") > region_shingles)).withColumn(
-        "blocks",
-        F.ceil(F.greatest(F.col("sets") / (region_sets / 2), F.col("shingles") / (region_shingles / 2))).cast("int"),
-    )
-    large = stored(large, "large-regions")
-    small = sets.join(F.broadcast(large.select("region")), "region", "left_anti").filter("n > 0")
+    named_sets = sets.filter("n > 0").withColumn("piece", F.col("region").cast("string"))
+    large = stored(_shape(named_sets, region_sets, region_shingles).filter("blocks > 1"), "large-regions")
+    small = named_sets.join(broadcast_if_small(large.select("piece")), "piece", "left_anti")
     # Nodes are classes, not ids: an id may have several texts.
-    links = _join_pieces(
-        small.select(F.col("region").alias("piece"), "doc", F.col("doc").alias("known"), "shingles"), percent
-    )
+    links = [_join_pieces(small.select("piece", "doc", F.col("doc").alias("known"), "shingles"), percent)]
     if large.limit(1).count():
-        links = links.union(_large_regions(sets, large, percent, max(1, region_sets // 2)))
+        rows_of = named_sets.join(broadcast_if_small(large.select("piece")), "piece").select("piece", "doc", "n", "shingles")
+        links += _divide(sets, stored(rows_of, "large-region-sets"), large, percent, region_sets, region_shingles)
+    links = functools.reduce(DataFrame.union, links)
     parts = stored(connected_components(links), "linked-classes")
     found = classes.join(_smallest_ids(classes, parts, "text_component"), "h1", "left")
     # Ids that several texts share connect their classes.
@@ -629,16 +748,29 @@ def _components(
         found = found.join(_smallest_ids(classes, parts, "component_id"), "h1", "left")
     else:
         found = found.withColumn("component_id", F.col("text_component"))
-    found = found.select("h1", "h2", *(F.coalesce(c, "doc").alias(c) for c in ("text_component", "component_id")))
-    own = (F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("text_component", "component_id"))
-    return named.join(found, ["h1", "h2"], "left").select("doc_id", "n", "h1", "h2", *own)
+    found = found.select("h1", "h2", "members", "doc", *(F.coalesce(c, "doc").alias(c) for c in ("text_component", "component_id")))
+    return _of_rows(named, found)
+
+
+def _of_rows(named: DataFrame, found: DataFrame) -> DataFrame:
+    """The components of the rows, from those of their classes.
+
+    Rows without shingles and rows that are alone in their class and component need none.
+    """
+    names = ("text_component", "component_id")
+    alone = (F.col("members") == 1) & F.col("text_component").eqNullSafe(F.col("doc")) & F.col("component_id").eqNullSafe(F.col("doc"))
+    found = stored(found.filter(~alone).drop("doc"), "found-classes")
+    joined = join_hot(named.filter("n > 0"), found, ["h1", "h2"], named.count())
+    own = (F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in names)
+    rest = named.filter("n = 0").select("doc_id", "n", "h1", "h2", *(F.col("doc_id").alias(c) for c in names))
+    return joined.select("doc_id", "n", "h1", "h2", *own).union(rest)
 
 
 def _smallest_ids(classes: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """``h1`` and the smallest id of its component, of classes that are linked."""
     linked = parts.withColumnRenamed("node", "h1").join(classes.select("h1", "doc"), "h1")
-    low = linked.groupBy("component").agg(F.min("doc").alias(name))
-    return parts.withColumnRenamed("node", "h1").join(low, "component").select("h1", name)
+    low = stored(linked.groupBy("component").agg(F.min("doc").alias(name), F.count(F.lit(1)).alias("members")), "smallest-ids")
+    return join_hot(parts.withColumnRenamed("node", "h1"), low, ["component"], parts.count()).select("h1", name)
 
 
 def _region_sets(rows: DataFrame, words: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -102,7 +103,12 @@ def test_low_thresholds_like_brute_force(spark, percent):
 
 
 def test_bits_of_a_sketch_follow_from_the_threshold():
-    assert [J.sketch_bits(p) for p in (100, 90, 80, 60, 50)] == [38, 38, 38, 57, 65]
+    bits = [J.sketch_bits(p) for p in (90, 80, 60, 50)]
+    assert bits == sorted(bits)
+    for percent, most in zip((90, 80, 60, 50), bits):
+        p = (1 - percent / 100) / 2
+        past = [sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(n, 257)) for n in (most, most + 1)]
+        assert past[1] <= 2.0**-64 < past[0]
 
 
 def test_a_large_group_of_near_copies(spark):
@@ -132,27 +138,28 @@ def test_sketches_of_similar_sets_are_near():
             pool = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
             common = round(2 * n * 0.8 / 1.8)
             a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n : 2 * n - common]]))
-            (a1, a2), (b1, b2) = J.sketch(a), J.sketch(b)
-            assert (a1 ^ b1).bit_count() + (a2 ^ b2).bit_count() <= J.SKETCH_BITS
+            assert np.bitwise_count(J.sketch(a) ^ J.sketch(b)).sum() <= J.sketch_bits(80)
 
 
 def test_representatives_across_chunks_stay_within_the_bound(spark):
-    # Sketches 38 bits apart, each represented by one that is 4 bits further off.
-    k1, k2 = (1 << 38) - 1, 0
-    rows = [(7, 15 << 40, 0), (7, k1, 15 << 40)]
-    postings = spark.createDataFrame(rows, "a long, b long, c long")
-    assert (rows[0][1] ^ k1).bit_count() + (15 << 40).bit_count() == J.SKETCH_BITS + 2 * J.SKETCH_NEAR
-    assert J._meeting_edges(postings).count() == 1
+    # Sketches as far apart as allowed, each represented by one that is SKETCH_NEAR bits further off.
+    far = J.sketch_bits(80) + 2 * J.SKETCH_NEAR
+    other = (1 << far) - 1
+    words = [int.from_bytes((other >> 64 * i & (1 << 64) - 1).to_bytes(8, "little"), "little", signed=True) for i in range(4)]
+    for least, rows in ((words[1], 1), (words[1] ^ 1 << 62, 0)):
+        # One more differing bit is too many.
+        postings = spark.createDataFrame([(7, 0, 0, 0, 0), (7, words[0], least, words[2], words[3])], "a long, b long, c long, d long, e long")
+        assert J._meeting_edges(postings).count() == rows
 
 
 def test_large_meetings_are_connected_like_small_ones(monkeypatch):
     r = np.random.default_rng(4)
-    k1, k2 = r.integers(0, 1 << 63, (2, 300), dtype=np.uint64)
-    k1[150:] = k1[:150] ^ np.uint64(5)
+    keys = r.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    keys[150:] = keys[:150] ^ np.uint64(5)
     pivot = np.repeat(np.arange(3, dtype=np.uint64), 100)
 
     def parts():
-        x, y = J.meeting_edges(pivot, k1, k2, 60)
+        x, y = J.meeting_edges(pivot, keys, 120)
         return [tuple(map(tuple, graph.smallest_reachable(x, y)))]
 
     whole = parts()
@@ -160,6 +167,115 @@ def test_large_meetings_are_connected_like_small_ones(monkeypatch):
     assert parts() == whole
 
 
+def test_rows_of_a_dealt_pivot_meet():
+    r = np.random.default_rng(5)
+    pivot = np.repeat(np.arange(1, 4, dtype=np.uint64), 40)
+    blocks = np.repeat([1, 4, 8], 40)
+    key, row = J.spread_pivots(pivot, r.integers(-(1 << 62), 1 << 62, 120), blocks)
+    assert np.bincount(row).tolist() == blocks.tolist()
+    tasks = [set(key[row == i].tolist()) for i in range(120)]
+    for i in range(120):
+        assert all((pivot[i] == pivot[k]) == bool(tasks[i] & tasks[k]) for k in range(i))
+
+
+@pytest.mark.parametrize("reach", [0.1, 0.2, 0.4, 0.7])
+def test_linked_documents_share_a_cell(reach):
+    r = np.random.default_rng(6)
+    for n in (3, 40, 300):
+        points = r.random((n, 3)) * r.choice([0.3, 1.0])
+        pivots = points[r.choice(n, min(n, 6), replace=False)]
+        cells = J.voronoi_cells(np.abs(points[:, None] - pivots).max(axis=2), reach)
+        assert set(np.concatenate(cells).tolist()) == set(range(n))
+        member = [{k for k, c in enumerate(cells) if i in c} for i in range(n)]
+        apart = np.abs(points[:, None] - points).max(axis=2)
+        for i, k in np.argwhere(apart <= reach):
+            assert member[i] & member[k]
+
+
+def test_cells_in_sql_are_those_in_memory(spark):
+    r = np.random.default_rng(7)
+    distance = np.round(r.random((200, 5)), 2)
+    rows = [(i, list(map(float, d))) for i, d in enumerate(distance)]
+    found = spark.createDataFrame(rows, "doc long, distance array<double>").select("doc", J._cell_numbers(0.2).alias("c")).collect()
+    cells = J.voronoi_cells(distance, 0.2)
+    assert {(x.doc, c) for x in found for c in x.c} == {(int(i), k) for k, c in enumerate(cells) for i in c}
+
+
+def at_the_threshold(seed, n):
+    """Texts of a chain in which neighbours have exactly 80 percent in common, beside pairs just below."""
+    r = random.Random(seed)
+    out = []
+    for g in range(n):
+        # 4 k + 4 words in a row are 4 k shingles; the next text shares 4 k of 5 k with it.
+        k = r.randrange(2, 30)
+        words = [f"g{g}w{i}" for i in range(5 * k + 4)]
+        out.append(" ".join(words))
+        out.append(" ".join(words[: 4 * k + 4]))
+        out.append(" ".join(words[: 4 * k + 3]))
+        out.append(" ".join(words[k:] + [f"g{g}z{i}" for i in range(k // 5)]))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"region_sets": 2}, {"region_shingles": 40}])
+def test_similarities_at_the_threshold(spark, options):
+    texts = at_the_threshold(1, 60)
+    sizes, parts = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(docs, **options).collect()}
+    assert found == {i: (sizes[i], parts[i]) for i in range(len(texts))}
+
+
+def crowd(seed, n):
+    """Texts of one region without a core: each of many small groups shares half of its words with all others."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(40)]
+    out = []
+    for g in range(n):
+        own = common + [f"g{g}w{i}" for i in range(30)]
+        out.append(" ".join(own))
+        own[r.randrange(42, len(own))] = "x"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_region_without_a_core_is_divided(spark):
+    texts = crowd(2, 60)
+    sets = J.shingle_sets(texts)
+    rows = [("r", i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    rows = spark.createDataFrame(rows, "piece string, doc long, n long, shingles binary")
+    large = spark.createDataFrame([("r", len(rows.collect()), 12)], "piece string, sets long, blocks int")
+    links = J._divide(rows, rows, large, 80, 20, 3_000_000)
+    root = list(range(len(texts)))
+    edges = [(x.a, x.b) for d in links for x in d.collect()]
+    for node, low in zip(*graph.smallest_reachable(*map(np.array, zip(*edges)))):
+        root[node] = low
+    assert root == brute(texts)[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cells_in_memory(seed, monkeypatch):
+    monkeypatch.setattr(J, "SEVERAL", 6)
+    texts = crowd(seed, 40) + some_texts(seed, 60)
+    sets = J.shingle_sets(texts)
+    root = list(range(len(texts)))
+    for node, low in zip(*graph.smallest_reachable(*map(np.array, zip(*J.region_links(sets, 80))))):
+        root[node] = low
+    assert root == brute(texts)[1]
+
+
+def test_one_hot_class_and_many_empty_texts(spark, monkeypatch):
+    from pagewright.llm import common
+
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "MOST_HOT", 10)
+    texts = ["the same text in a third of all rows of the table"] * 300 + [""] * 200 + [None] * 100
+    texts += ["the same text in a third of all rows of the table now"] + some_texts(3, 150)
+    sizes, parts = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_documents(docs).collect()}
+    assert found == {i: (sizes[i], parts[i]) for i in range(len(texts))}
+
+
 def test_odd_rows(spark, odd, none):
     rows = J.similar_documents(odd).collect()
     assert len(rows) == odd.count()
