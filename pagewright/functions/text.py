@@ -115,18 +115,35 @@ def script_letters(text: Column, name: str) -> Column:
     return count_of(text, f"\\p{{L}}&&[\\x{{{low:X}}}-\\x{{{high:X}}}]")
 
 
+#: White space, decimal digits and punctuation among the ASCII characters.
+ASCII_COMMON = "\\x{09}-\\x{0D}\\x{1C}-\\x{20}0-9!-#%-*,-/:;?@\\[-\\]_{}"
+
+
 def expected_characters(text: Column, language: Column, ranges: dict[str, str] | None = None) -> Column:
     """Number of characters that are white space, digits, punctuation or letters of the language.
 
-    The frequent members of the class stand first: the pattern engine tries them in order.
+    Texts are mostly ASCII, so what is expected there goes first, by a class that the pattern engine answers with
+    a table; the general class, with its Unicode properties, runs on the rest, and only if that is not all ASCII.
     """
     common = f"\\x{{20}}\\p{{P}}\\p{{Nd}}{SPACES}\\x{{0B}}\\x{{0C}}\\x{{1C}}-\\x{{1F}}\\x{{85}}{DIGITS}"
-    chain = None
-    for name, own in (LANGUAGE_RANGES if ranges is None else ranges).items():
-        counted = count_of(text, own + common)
-        chain = F.when(language == name, counted) if chain is None else chain.when(language == name, counted)
-    out = count_of(text, common)
-    return out if chain is None else chain.otherwise(out)
+    known = LANGUAGE_RANGES if ranges is None else ranges
+
+    def by_language(of: Callable[[str], Column]) -> Column:
+        chain = None
+        for name, own in known.items():
+            chain = F.when(language == name, of(own)) if chain is None else chain.when(language == name, of(own))
+        return of("") if chain is None else chain.otherwise(of(""))
+
+    def without_ascii(own: str) -> Column:
+        return F.regexp_replace(text, f"[{ASCII_COMMON}{'A-Za-z' if own == LANGUAGE_RANGES['en'] else ''}]+", "")
+
+    def further(rest: Column) -> Column:
+        more = by_language(lambda own: count_of(rest, own + common))
+        if ranges is None:  # nothing else that is ASCII is expected in any of these languages
+            more = F.when(rest.rlike("[^\\x{00}-\\x{7F}]"), more).otherwise(0)
+        return F.length(text) - F.length(rest) + more
+
+    return _let(by_language(without_ascii), further)
 
 
 def checkable_token(token: Column) -> Column:
@@ -195,6 +212,17 @@ def similarity_udf(autojunk: bool = True):
     return ratio
 
 
+def gestalt_similarity(a: Column, b: Column, least: float = 0.0, autojunk: bool = True) -> Column:
+    """Gestalt similarity of two stripped texts; what surely is below ``least`` counts as 0.
+
+    Equal texts, and texts whose lengths alone keep them below, are decided natively; the rest goes to Python.
+    """
+    x, y = (strip(F.coalesce(c, F.lit(""))) for c in (a, b))
+    n, m = F.length(x), F.length(y)
+    known = F.when(x == y, 1.0).when(2 * F.least(n, m) < least * (n + m), 0.0)
+    return F.coalesce(known, similarity_udf(autojunk)(F.when(known.isNull(), x), F.when(known.isNull(), y)))
+
+
 def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
     """Edit distance of two sequences."""
     row = list(range(len(b) + 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from .blocks import PAGE
-from .quality import document_confidence, low_confidence_pages, page_languages, page_quality
+from .quality import page_sums, with_scores
 
 #: What a block may carry in the tree, in the order of the output.
 FIELDS = (
@@ -24,8 +24,8 @@ TEXT_ONLY = ("text", "original_text", "corrected_text", "correction_applied", "c
 FIGURE_ONLY = ("subtype", "image_url", "caption", "alt_text")
 
 
-def project_by_type(blocks: DataFrame) -> DataFrame:
-    """Every field null that the block's type does not have; the text is the corrected one."""
+def projected(blocks: DataFrame) -> dict[str, Column]:
+    """The fields of a block in the tree by name: null where its type does not have them; the text is the corrected one."""
     have = set(blocks.columns)
 
     def field(name: str) -> Column:
@@ -35,34 +35,37 @@ def project_by_type(blocks: DataFrame) -> DataFrame:
         if name == "bbox":
             c = F.array(*(F.col(f"bbox.{e}") for e in ("x0", "y0", "x1", "y1")))
         if name in TEXT_ONLY:
-            c = F.when(~F.col("type").isin("table", "figure"), c)
-        elif name == "table":
-            c = F.when(F.col("type") == "table", c)
-        elif name in FIGURE_ONLY:
-            c = F.when(F.col("type") == "figure", c)
-        return c.alias(name)
+            return F.when(~F.col("type").isin("table", "figure"), c)
+        if name == "table":
+            return F.when(F.col("type") == "table", c)
+        return F.when(F.col("type") == "figure", c) if name in FIGURE_ONLY else c
+
+    return {name: field(name) for name in FIELDS}
+
 
-    return blocks.select(*PAGE, "reading_order", *map(field, FIELDS))
+def project_by_type(blocks: DataFrame) -> DataFrame:
+    """Every field null that the block's type does not have."""
+    return blocks.select(*PAGE, "reading_order", *(c.alias(name) for name, c in projected(blocks).items()))
 
 
 def pages_tree(blocks: DataFrame, pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row for each page with its blocks nested in reading order, languages, attempt and rounded quality.
+    """One row for each page with its blocks nested in reading order, languages, attempt, quality and confidence.
 
-    ``pages`` has ``page_width, page_height, ocr_attempt``; pages without blocks get an empty list.
+    ``pages`` has ``page_width, page_height, ocr_attempt``; pages without blocks get an empty list, confidence 0
+    and the score of an empty page.  Everything about a page comes from one aggregation of its blocks.
     """
-    entry = F.struct("reading_order", F.struct(*FIELDS).alias("block"))
-    nested = project_by_type(blocks).groupBy(*PAGE).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.block).alias("blocks")
-    )
+    columns = {f"_{f}": c for f, c in projected(blocks).items()}
     text = F.coalesce("corrected_text", "text") if "corrected_text" in blocks.columns else F.col("text")
-    sized = blocks.drop("page_width", "page_height", "ocr_attempt").withColumn("text", text)
-    quality = page_quality(sized.join(pages.select(*PAGE, "page_width", "page_height"), PAGE), None, s)
-    return (
-        pages.select(*PAGE, F.coalesce("ocr_attempt", F.lit("original")).alias("ocr_attempt"))
-        .join(nested, PAGE, "left")
-        .join(page_languages(blocks), PAGE, "left")
-        .join(quality.select(*PAGE, "quality_score"), PAGE, "left")
+    rows = blocks.withColumns(columns).withColumn("text", text)
+    entry = F.struct("reading_order", F.struct(*(F.col(f"_{f}").alias(f) for f in FIELDS)).alias("block"))
+    nested = rows.groupBy(*PAGE).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.block).alias("blocks"), *page_sums(rows)
     )
+    area = (F.col("page_width") * F.col("page_height")).alias("page_area")
+    known = pages.select(*PAGE, area, F.coalesce("ocr_attempt", F.lit("original")).alias("ocr_attempt"))
+    scored = with_scores(known.join(nested, PAGE, "left"), s)
+    low = F.coalesce(F.col("c_all") / F.col("n_blocks"), F.lit(0.0)) < s.low_page_confidence
+    return scored.select(*PAGE, "ocr_attempt", "blocks", "languages", "quality_score", "c_known", "n_known", low.alias("low"))
 
 
 def document_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -74,29 +77,16 @@ def document_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame, s:
         F.round("quality_score", 4).alias("quality_score"),
         F.coalesce("blocks", F.array()).alias("blocks"),
     )
-    tree = pages_tree(blocks, pages, s)
-    nested = tree.groupBy("document_id").agg(
+    nested = pages_tree(blocks, pages, s).groupBy("document_id").agg(
         F.array_sort(F.collect_list(page), lambda a, b: F.when(a.page_number < b.page_number, -1).otherwise(1)).alias("pages"),
         F.count(F.lit(1)).cast("int").alias("page_count"),
         F.avg("quality_score").alias("avg_quality_score"),
+        F.round(F.coalesce(F.sum("c_known") / F.sum("n_known"), F.lit(0.0)), 4).alias("avg_confidence"),
+        F.array_sort(F.collect_list(F.when(F.col("low"), F.col("page_number")))).alias("low_confidence_pages"),
     )
-    meta = document_confidence(blocks).join(low_confidence_pages(pages, blocks, s), "document_id", "full")
-    return (
-        documents.select("document_id", "filename")
-        .join(nested, "document_id")
-        .join(meta, "document_id", "left")
-        .select(
-            "document_id",
-            "filename",
-            "page_count",
-            "pages",
-            F.struct(
-                F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
-                F.coalesce("low_confidence_pages", F.array().cast("array<int>")).alias("low_confidence_pages"),
-            ).alias("metadata"),
-            "avg_quality_score",
-        )
-    )
+    metadata = F.struct("avg_confidence", "low_confidence_pages").alias("metadata")
+    found = documents.select("document_id", "filename").join(nested, "document_id")
+    return found.select("document_id", "filename", "page_count", "pages", metadata, "avg_quality_score")
 
 
 def to_json(tree: DataFrame, pretty: bool = False) -> DataFrame:

@@ -30,7 +30,8 @@ def parse_lines(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Recogniser arrays ``rec_texts, rec_scores, rec_polys`` to one row for each line.
 
     The arrays are cut to the shortest.  Blank texts and polygons without points are dropped; the rest keep
-    their place as ``seq``.  Null arrays read as empty.
+    their place as ``seq``.  Null arrays read as empty.  Where the recogniser has a column ``error``, a page
+    with an error has one more row that has nothing but it.
     """
     names = ("rec_texts", "rec_scores", "rec_polys")
     n = F.least(*(F.coalesce(F.size(c), F.lit(0)) for c in names))
@@ -44,7 +45,11 @@ def parse_lines(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     )
     kept = lines.filter((F.col("text") != "") & (F.size("points") > 0))
     boxed = kept.withColumn("bbox", G.polygon_bbox(F.col("points"))).drop("points")
-    return boxed.withColumn("type", block_type(F.col("text"), F.col("bbox"), s))
+    typed = boxed.withColumn("type", block_type(F.col("text"), F.col("bbox"), s))
+    if "error" not in raw.columns:
+        return typed
+    failed = raw.filter(F.col("error").isNotNull()).select(*PAGE, "error")
+    return typed.unionByName(failed, allowMissingColumns=True)
 
 
 def parse_fallback_lines(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -86,6 +91,14 @@ def table_windows(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return out.withColumn("window", window).filter(F.col("window").isNotNull())
 
 
+def analyze_structure(boxes: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(table regions with crop windows, figure regions with subtypes) of a page's layout boxes.
+
+    The layout model ran once; tables and figures are two selections from its boxes.
+    """
+    return table_windows(boxes, s), figure_regions(boxes)
+
+
 def figure_blocks(figures: DataFrame, texts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Figure blocks with crop window, caption and their own review rule.  Degenerate regions are dropped."""
     from .spatial import with_captions
@@ -115,18 +128,21 @@ def union_blocks(*parts: DataFrame) -> DataFrame:
 
 
 def error_block(pages: DataFrame) -> DataFrame:
-    """The one block of a page that failed."""
+    """The one block of a page that failed, with its ``error`` if the table has that column."""
     zero = F.lit(0.0)
+    said = F.coalesce(F.col("error"), F.lit("")) if "error" in pages.columns else F.lit("")
     return pages.select(
         *PAGE,
         F.lit(0).alias("seq"),
         F.lit("paragraph").alias("type"),
-        F.lit("").alias("text"),
+        F.concat(F.lit("[OCR ERROR on page "), F.col("page_number").cast("string"), F.lit(": "), said, F.lit("]")).alias("text"),
         G.bbox(zero, zero, zero, zero).alias("bbox"),
         zero.alias("confidence"),
         F.lit("und").alias("language"),
         F.lit("error").alias("engine_used"),
         F.lit("error").alias("ocr_attempt"),
+        F.lit("needs_review").alias("review_status"),
+        F.lit(True).alias("needs_review"),
     )
 
 

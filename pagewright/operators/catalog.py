@@ -10,10 +10,15 @@ from ..config import DEFAULT, Settings
 
 def point(df: DataFrame, **equal: object) -> DataFrame:
     """The first row with these values."""
-    cond = F.lit(True)
+    return matching(df, **equal).limit(1)
+
+
+def matching(df: DataFrame, **equal: object) -> DataFrame:
+    """All rows with these values; a value of None sets no condition."""
     for name, value in equal.items():
-        cond = cond & (F.col(name) == value)
-    return df.filter(cond).limit(1)
+        if value is not None:
+            df = df.filter(F.col(name) == F.lit(value))
+    return df
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
@@ -23,12 +28,13 @@ def latest(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
 
 
 def latest_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Every document with its latest job, or nulls.  The maximum is aggregated before the join."""
+    """Every document with its latest job, or nulls; jobs are read once and aggregated before the join."""
     columns = [c for c in jobs.columns if c != "document_id"]
-    # max_by takes the largest (started_at, ...); ties go to the smallest job id through a second minimum.
-    top = jobs.groupBy("document_id").agg(F.max("started_at").alias("_t"))
-    tied = jobs.join(top, "document_id").filter(F.col("started_at").eqNullSafe(F.col("_t")))
-    best = tied.groupBy("document_id").agg(F.min_by(F.struct(*columns), F.col("job_id")).alias("job"))
+    # The order latest first, nulls last, smallest id first, as one key of one aggregate.
+    since = -F.unix_micros(F.col("started_at").cast("timestamp"))
+    best = jobs.groupBy("document_id").agg(
+        F.min_by(F.struct(*columns), F.struct(F.col("started_at").isNull(), since, F.col("job_id"))).alias("job")
+    )
     return documents.join(best, "document_id", "left").select("*", "job.*").drop("job")
 
 
@@ -63,6 +69,12 @@ def base_name(name: Column) -> Column:
     return F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
 
 
+def storage_path(document_id: Column, filename: Column) -> Column:
+    """Where an uploaded document lies; a name without any letters after its folders becomes ``document.pdf``."""
+    name = base_name(F.coalesce(filename, F.lit("")))
+    return F.concat(F.lit("documents/"), document_id, F.lit("/"), F.when(name == "", "document.pdf").otherwise(name))
+
+
 def validate_uploads(files: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """``reject_reason`` (null: accepted) of ``filename, content_type, size, magic, page_count``; the first failed check."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))

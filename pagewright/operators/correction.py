@@ -185,6 +185,14 @@ class CallPolicy:
                     raise
 
 
+_POLICIES: dict[Settings, CallPolicy] = {}
+
+
+def process_policy(s: Settings) -> CallPolicy:
+    """The one policy of this process for these settings: all its tasks share spacing and circuit breaker."""
+    return _POLICIES.setdefault(s, CallPolicy(s))
+
+
 Provider = Callable[[list[dict]], dict[str, str]]
 #: Providers by name.  Network providers register here; this package ships none and the offline one below.
 PROVIDERS: dict[str, Callable[..., Provider]] = {}
@@ -206,7 +214,7 @@ def ask(requests: DataFrame, provider: Provider, batch: int = 32, s: Settings =
     """``key, answer, failed`` from a provider that is called with batches of ``block_id, text, language``."""
 
     def run(frames):
-        policy = CallPolicy(s)
+        policy = process_policy(s)
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]

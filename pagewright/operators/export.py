@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import grid, markdown_table, text_table
@@ -140,12 +140,14 @@ def highlight_draws(blocks: DataFrame) -> DataFrame:
 
 def legend(blocks: DataFrame) -> DataFrame:
     """Languages in the legend of each page: those of this page and of all pages before it, sorted."""
-    own = F.collect_set(F.when(_blank(F.col("text")) != "", F.coalesce("language", F.lit("en"))))
-    pages = blocks.groupBy("document_id", "page_number").agg(own.alias("own"))
-    upto = Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.select(
-        "document_id", "page_number", F.array_sort(F.array_distinct(F.flatten(F.collect_list("own").over(upto)))).alias("languages")
-    )
+    shown = blocks.select("document_id", "page_number", F.when(_blank(F.col("text")) != "", F.coalesce("language", F.lit("en"))).alias("language"))
+    first = shown.filter(F.col("language").isNotNull()).groupBy("document_id", "language").agg(F.min("page_number").alias("since"))
+    # A document has few languages, so what travels with each page is short.
+    known = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("language", "since"))).alias("known"))
+    pages = shown.select("document_id", "page_number").distinct().join(known, "document_id", "left")
+    upto = F.filter("known", lambda k: k.since <= F.col("page_number"))
+    languages = F.coalesce(F.transform(upto, lambda k: k.language), F.array().cast("array<string>"))
+    return pages.select("document_id", "page_number", languages.alias("languages"))
 
 
 def structured_draws(blocks: DataFrame) -> DataFrame:

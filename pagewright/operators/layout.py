@@ -12,11 +12,12 @@ from .blocks import PAGE
 def column_of(blocks: Column, s: Settings = DEFAULT) -> Column:
     """Columns of a page as an array of ``(x0, x1, items)`` by a fold over its blocks from left to right.
 
-    ``blocks`` is an array of ``(x0, seq, y0, x1)`` structs.  A block joins the first column that it shares at
+    ``blocks`` is an array of structs with ``x0, seq, y0, x1``.  A block joins the first column that it shares at
     least half of the narrower width with, and the column's range grows; else it opens a new column.
     """
-    item = "struct<x0:double,seq:int,y0:double,x1:double>"
-    empty = F.from_json(F.lit("[]"), f"array<struct<x0:double,x1:double,items:array<{item}>>>")
+    empty = F.filter(
+        F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("x1"), blocks.alias("items"))), lambda c: F.lit(False)
+    )
 
     def step(columns: Column, b: Column) -> Column:
         def joins(c: Column) -> Column:
@@ -39,7 +40,7 @@ def column_of(blocks: Column, s: Settings = DEFAULT) -> Column:
         opened = F.concat(columns, F.array(F.struct(b.x0.alias("x0"), b.x1.alias("x1"), F.array(b).alias("items"))))
         return F.when(found > 0, grown).otherwise(opened)
 
-    return F.aggregate(F.array_sort(blocks), empty, step)
+    return F.aggregate(F.array_sort(blocks, _across), empty, step)
 
 
 def reading_order(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -49,22 +50,40 @@ def reading_order(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     from top to bottom (by x0 and seq on ties).  A page is folded natively; its blocks are one array, as a
     page is bounded by what fits on paper.
     """
+    rest = [F.col(c) for c in blocks.columns if c not in (*PAGE, "column_number", "reading_order", "block_id")]
     item = F.struct(
-        F.col("bbox.x0").alias("x0"), F.col("seq").cast("int").alias("seq"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1")
-    )
+        F.col("bbox.x0").alias("x0"), F.col("seq").cast("int").alias("seq"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"),
+        F.struct(*rest).alias("block"),
+    )
+    # The blocks travel through the fold of their page, so they need no join to get their places.
     pages = blocks.groupBy(*PAGE).agg(F.collect_list(item).alias("items"))
-    columns = pages.select(*PAGE, F.posexplode(column_of(F.col("items"), s)).alias("opened", "c"))
-    rows = columns.select(*PAGE, "opened", F.col("c.x0").alias("left"), F.posexplode("c.items").alias("at", "b"))
-    by_column = Window.partitionBy(*PAGE).orderBy("left", "opened")
-    in_order = Window.partitionBy(*PAGE).orderBy("left", "opened", "b.y0", "at")
-    placed = rows.select(
-        *PAGE,
-        F.col("b.seq").alias("_seq"),
-        F.dense_rank().over(by_column).alias("column_number"),
-        F.row_number().over(in_order).alias("reading_order"),
+    by_left = F.array_sort(F.transform(column_of(F.col("items"), s), lambda c, i: F.struct(c.x0.alias("left"), i.alias("opened"), c["items"].alias("items"))), _left)
+    down = F.transform(
+        by_left, lambda c, k: F.transform(F.array_sort(F.transform(c["items"], lambda b, at: F.struct(b.y0, at, b.block.alias("block"))), _down), lambda b: F.struct((k + 1).alias("column_number"), b.block.alias("block")))
     )
-    joined = blocks.join(placed.withColumnRenamed("_seq", "seq"), [*PAGE, "seq"])
-    return joined.withColumn("block_id", block_id(F.col("page_number"), F.col("reading_order")))
+    rows = pages.select(*PAGE, F.posexplode(F.flatten(down)).alias("_at", "_b"))
+    placed = rows.select(*PAGE, "_b.block.*", "_b.column_number", (F.col("_at") + 1).alias("reading_order"))
+    return placed.withColumn("block_id", block_id(F.col("page_number"), F.col("reading_order")))
+
+
+def _before(*pairs: tuple[Column, Column]) -> Column:
+    """-1, 0 or 1 for the first pair that differs; compares what sorts and leaves out what does not."""
+    out = F.lit(0)
+    for x, y in reversed(pairs):
+        out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
+    return out
+
+
+def _across(a: Column, b: Column) -> Column:
+    return _before((a.x0, b.x0), (a.seq, b.seq))
+
+
+def _left(a: Column, b: Column) -> Column:
+    return _before((a.left, b.left), (a.opened, b.opened))
+
+
+def _down(a: Column, b: Column) -> Column:
+    return _before((a.y0, b.y0), (a["at"], b["at"]))
 
 
 def block_id(page: Column, place: Column) -> Column:

@@ -35,59 +35,79 @@ def corrected_needs_no_review(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("needs_review", needs)
 
 
-def page_quality(blocks: DataFrame, keys: list[str] | None = None, s: Settings = DEFAULT, ranges: dict | None = None) -> DataFrame:
-    """The five components and the weighted score of every page, in one aggregation after a count by language.
+def page_sums(blocks: DataFrame, ranges: dict | None = None) -> list[Column]:
+    """Aggregates of a page's blocks from which its confidence, quality and languages follow.
 
-    ``blocks`` has ``type, text, bbox, confidence, language, page_width, page_height`` and may have
-    ``correction_applied``.  Components without any text block are 1, the coverage of an empty page is 0.
+    They need one grouping by page; the languages of its texts are an array, as a page is bounded by what fits on paper.
     """
-    keys = PAGE if keys is None else keys
     is_text = F.col("type").isin(*TEXT_TYPES)
     filled = is_text & (F.coalesce(F.length("text"), F.lit(0)) > 0)
     corrected = F.coalesce(F.col("correction_applied"), F.lit(False)) if "correction_applied" in blocks.columns else F.lit(False)
     language = F.coalesce("language", F.lit("und"))
-    rows = blocks.select(
-        *keys,
-        "page_width",
-        "page_height",
-        language.alias("language"),
-        F.when(is_text, 1).otherwise(0).alias("n_text"),
-        F.when(is_text, F.col("confidence")).alias("c_sum"),
-        F.when(filled, 1).otherwise(0).alias("n_filled"),
-        F.when(filled & ~corrected, 1).otherwise(0).alias("n_unchanged"),
-        F.when(filled, F.length("text")).otherwise(0).alias("chars"),
-        F.when(filled, X.expected_characters(F.col("text"), language, ranges)).otherwise(0).alias("expected"),
-        G.area(F.col("bbox")).alias("covered"),
-    )
-    sums = ("n_text", "c_sum", "n_filled", "n_unchanged", "chars", "expected", "covered")
-    by_language = rows.groupBy(*keys, "language").agg(
-        F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"), *(F.sum(c).alias(c) for c in sums)
-    )
-    page = by_language.groupBy(*keys).agg(
-        (F.max("page_width") * F.max("page_height")).alias("page_area"),
-        F.max("n_text").alias("dominant"),
-        *(F.sum(c).alias(c) for c in sums),
-    )
+    named = F.when(~F.col("type").isin("table", "figure"), F.coalesce("language", F.lit("en")))
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    return [
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.sum(confidence).alias("c_all"),
+        F.sum("confidence").alias("c_known"),
+        F.count("confidence").alias("n_known"),
+        F.sum(F.when(is_text, 1).otherwise(0)).alias("n_text"),
+        F.sum(F.when(is_text, F.col("confidence"))).alias("c_sum"),
+        F.sum(F.when(filled, 1).otherwise(0)).alias("n_filled"),
+        F.sum(F.when(filled & ~corrected, 1).otherwise(0)).alias("n_unchanged"),
+        F.sum(F.when(filled, F.length("text")).otherwise(0)).alias("chars"),
+        F.sum(F.when(filled, X.expected_characters(F.col("text"), language, ranges)).otherwise(0)).alias("expected"),
+        F.sum(G.area(F.col("bbox"))).alias("covered"),
+        F.collect_list(F.when(is_text, language)).alias("text_languages"),
+        F.array_sort(F.collect_set(named)).alias("languages"),
+    ]
+
+
+def with_scores(sums: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The five components and the weighted score, from :func:`page_sums` and ``page_area``.
+
+    Null sums stand for a page without blocks.  Components without any text block are 1, the coverage of an
+    empty page is 0, so such a page scores 0.85 by the default weights.
+    """
 
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(1.0)
 
-    parts = page.select(
-        *keys,
-        share("c_sum", "n_text").alias("confidence"),
-        share("n_unchanged", "n_filled").alias("text_quality"),
-        share("expected", "chars").alias("character_quality"),
-        F.when(F.col("page_area") > 0, F.least(F.col("covered") / F.col("page_area"), F.lit(1.0))).otherwise(0.0).alias("coverage"),
-        share("dominant", "n_text").alias("language_consistency"),
-    )
-    score = (
-        s.weight_confidence * F.col("confidence")
-        + s.weight_text * F.col("text_quality")
-        + s.weight_characters * F.col("character_quality")
-        + s.weight_coverage * F.col("coverage")
-        + s.weight_language * F.col("language_consistency")
-    )
-    return parts.withColumn("quality_score", F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+    said = F.col("text_languages")
+    dominant = F.array_max(F.transform(F.array_distinct(said), lambda x: F.size(F.filter(said, lambda y: y == x))))
+    covered = F.least(F.col("covered") / F.col("page_area"), F.lit(1.0))
+    parts = {
+        "confidence": share("c_sum", "n_text"),
+        "text_quality": share("n_unchanged", "n_filled"),
+        "character_quality": share("expected", "chars"),
+        "coverage": F.when(F.col("page_area") > 0, F.coalesce(covered, F.lit(0.0))).otherwise(0.0),
+        "language_consistency": F.when(F.col("n_text") > 0, dominant / F.col("n_text")).otherwise(1.0),
+    }
+    weights = (s.weight_confidence, s.weight_text, s.weight_characters, s.weight_coverage, s.weight_language)
+    score = sum((w * F.col(name) for w, name in zip(weights, parts)), F.lit(0.0))
+    return sums.withColumns(parts).withColumn("quality_score", F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+
+
+COMPONENTS = ("confidence", "text_quality", "character_quality", "coverage", "language_consistency")
+
+
+def page_quality(
+    blocks: DataFrame, keys: list[str] | None = None, s: Settings = DEFAULT, ranges: dict | None = None, pages: DataFrame | None = None
+) -> DataFrame:
+    """The five components and the weighted score of every page, in one aggregation.
+
+    ``blocks`` has ``type, text, bbox, confidence, language`` and may have ``correction_applied``.  The size of a
+    page, ``page_width, page_height``, is a column of ``pages``, or else of the blocks.  Only ``pages`` can tell of
+    pages without blocks.
+    """
+    keys = PAGE if keys is None else keys
+    area = F.col("page_width") * F.col("page_height")
+    if pages is None:
+        sums = blocks.groupBy(*keys).agg(*page_sums(blocks, ranges), (F.max("page_width") * F.max("page_height")).alias("page_area"))
+    else:
+        sums = blocks.groupBy(*keys).agg(*page_sums(blocks, ranges))
+        sums = pages.select(*keys, area.alias("page_area")).join(sums, keys, "left")
+    return with_scores(sums, s).select(*keys, *COMPONENTS, "quality_score")
 
 
 def document_quality(pages: DataFrame, key: str = "document_id") -> DataFrame:

@@ -25,13 +25,14 @@ def _side(df: DataFrame, mark: str) -> DataFrame:
 def suppress_inside(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Blocks without the texts that lie inside a table or figure of their page.
 
-    Structures and blocks without a box always stay.
+    Structures and blocks without a box always stay.  The boxes of a page's structures are gathered beside its
+    blocks, so the blocks themselves are dealt by page once and joined with nothing.
     """
-    outer = _side(blocks.filter(F.col("type").isin(*STRUCTURE_TYPES) & F.col("bbox").isNotNull()).select(*PAGE, "bbox"), "s")
-    is_text = ~F.coalesce(F.col("type"), F.lit("")).isin(*STRUCTURE_TYPES)
-    same_page = [blocks[c] == outer[c] for c in PAGE]
-    inside = G.containment(blocks.bbox, outer.s_bbox) >= s.containment
-    return blocks.join(outer, [*same_page, is_text, inside], "left_anti")
+    structure = F.coalesce(F.col("type"), F.lit("")).isin(*STRUCTURE_TYPES)
+    boxes = F.collect_list(F.when(structure & F.col("bbox").isNotNull(), F.col("bbox"))).over(Window.partitionBy(*PAGE))
+    inside = F.exists("_boxes", lambda box: G.containment(F.col("bbox"), box) >= s.containment)
+    kept = structure | F.col("bbox").isNull() | ~F.coalesce(inside, F.lit(False))
+    return blocks.withColumn("_boxes", boxes).filter(kept).drop("_boxes")
 
 
 def duplicate_edges(blocks: DataFrame, similarity: Column | None = None, s: Settings = DEFAULT) -> DataFrame:
@@ -40,10 +41,10 @@ def duplicate_edges(blocks: DataFrame, similarity: Column | None = None, s: Sett
     ``similarity`` is an expression on ``a_text, b_text``; by default the gestalt ratio.
     """
     texts = blocks.filter(~F.col("type").isin(*STRUCTURE_TYPES) & F.col("bbox").isNotNull())
-    a, b = (_side(texts.select(*PAGE, "seq", "type", "text", "bbox"), m) for m in "ab")
+    a, b = (_side(texts.select(*PAGE, "seq", "type", "text", "bbox", "confidence"), m) for m in "ab")
     on = [F.col("a_type") == F.col("b_type"), F.col("a_seq") < F.col("b_seq")]
     near = a.join(b, PAGE).filter(on[0] & on[1] & (G.iou(F.col("a_bbox"), F.col("b_bbox")) >= s.duplicate_iou))
-    like = X.similarity_udf()(F.col("a_text"), F.col("b_text")) if similarity is None else similarity
+    like = X.gestalt_similarity(F.col("a_text"), F.col("b_text"), s.duplicate_similarity) if similarity is None else similarity
     return near.withColumn("similarity", like).filter(F.col("similarity") >= s.duplicate_similarity)
 
 
@@ -51,14 +52,16 @@ def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType) for n in names]
 
 
-def duplicate_clusters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """``cluster`` of every block: the smallest ``seq`` that it reaches over edges of its page.
+def duplicate_clusters(edges: DataFrame) -> DataFrame:
+    """``seq, cluster, best`` of every block with an edge: the smallest ``seq`` that it reaches over edges of its page,
+    and the most confident block of that cluster, the first one on ties.
 
     A page is one unit of layout, so its edges are closed at once; blocks without edges do not go through it.
     """
 
     def close(rows: list[dict]) -> list[tuple]:
         root: dict[int, int] = {}
+        sure: dict[int, float] = {}
 
         def find(x: int) -> int:
             while root.setdefault(x, x) != x:
@@ -69,21 +72,24 @@ def duplicate_clusters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
         for r in rows:
             low, high = sorted((find(r["a_seq"]), find(r["b_seq"])))
             root[high] = low
+            sure[r["a_seq"]], sure[r["b_seq"]] = r["a_confidence"], r["b_confidence"]
+        best: dict[int, int] = {}
+        for x in sorted(sure, key=lambda x: (-sure[x], x)):
+            best.setdefault(find(x), x)
         page = [rows[0][c] for c in PAGE]
-        return [(*page, x, find(x)) for x in list(root)]
+        return [(*page, x, find(x), best[find(x)]) for x in sure]
 
-    whole = T.IntegerType()
-    schema = T.StructType([*_fields(blocks, *PAGE), T.StructField("seq", whole), T.StructField("cluster", whole)])
-    slim = edges.select(*PAGE, F.col("a_seq").cast("int").alias("a_seq"), F.col("b_seq").cast("int").alias("b_seq"))
-    closed = by_page(slim, [], close, schema)
-    return blocks.join(closed, [*PAGE, "seq"], "left").withColumn("cluster", F.coalesce("cluster", "seq"))
+    whole = [T.StructField(n, T.IntegerType()) for n in ("seq", "cluster", "best")]
+    ends = [F.col(f"{m}_seq").cast("int").alias(f"{m}_seq") for m in "ab"]
+    sure = [F.coalesce(f"{m}_confidence", F.lit(0.0)).cast("double").alias(f"{m}_confidence") for m in "ab"]
+    slim = edges.select(*PAGE, *ends, *sure)
+    return by_page(slim, [], close, T.StructType([*_fields(edges, *PAGE), *whole]))
 
 
 def merge_duplicates(blocks: DataFrame, similarity: Column | None = None, s: Settings = DEFAULT) -> DataFrame:
     """Of each cluster of duplicates the most confident block, the first one on ties."""
-    clustered = duplicate_clusters(blocks, duplicate_edges(blocks, similarity, s))
-    best = Window.partitionBy(*PAGE, "cluster").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "seq")
-    return clustered.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "cluster")
+    found = duplicate_clusters(duplicate_edges(blocks, similarity, s))
+    return blocks.join(found.filter("seq <> best").select(*PAGE, "seq"), [*PAGE, "seq"], "left_anti")
 
 
 def with_captions(regions: DataFrame, texts: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -175,7 +175,9 @@ def correct_runs(blocks: DataFrame, dictionary: list[tuple[str, int]], keys: lis
 
     @F.pandas_udf("struct<text:string,log:array<struct<original:string,corrected:string,distance:int>>>")
     def fix(run: pd.Series) -> pd.DataFrame:
-        checker = state.setdefault("c", Compound(shared.value))
+        if "c" not in state:
+            state["c"] = Compound(shared.value)
+        checker = state["c"]
         rows = []
         for words in run:
             after = checker.correct(list(words))

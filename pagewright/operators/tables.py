@@ -98,25 +98,36 @@ def table_confidence(table: Column) -> Column:
 def grid(table: Column, clean=lambda text: text) -> Column:
     """Array of rows of cell texts: spans repeat a text and are cut at the edges; later cells win.
 
-    ``clean`` is applied to each text.  Tables without rows or columns give an empty array.
+    ``clean`` is applied to each text.  Tables without rows or columns give an empty array.  Every cell is spread
+    over its slots once; the last of each slot, in order of slots, are the grid.
     """
     rows, cols = table.rows, table.cols
+    none = F.array().cast("array<int>")
 
-    def at(r: Column, c: Column) -> Column:
-        def covers(cell: Column) -> Column:
-            down, across = F.greatest(cell.row_span, F.lit(1)), F.greatest(cell.col_span, F.lit(1))
-            return (cell.row <= r) & (r < cell.row + down) & (cell.col <= c) & (c < cell.col + across)
+    def span(start: Column, n: Column, end: Column) -> Column:
+        first, last = F.greatest(start, F.lit(0)), F.least(start + F.greatest(n, F.lit(1)), end) - 1
+        return F.when(start.isNotNull() & (first <= last), F.sequence(first, last)).otherwise(none)
 
-        last = F.try_element_at(F.filter(table["cells"], covers), F.lit(-1))
-        return clean(F.coalesce(last.text, F.lit("")))
+    def slot(at: Column, order: Column, text: Column) -> Column:
+        return F.struct(at.alias("at"), order.alias("order"), text.alias("text"))
 
-    def line(r: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), cols - 1), lambda c: at(r, c))
+    def spread(cell: Column, k: Column) -> Column:
+        def line(r: Column) -> Column:
+            text = clean(F.coalesce(cell.text, F.lit("")))
+            return F.transform(span(cell.col, cell.col_span, cols), lambda c: slot(r * cols + c, k, text))
 
+        return F.flatten(F.transform(span(cell.row, cell.row_span, rows), line))
+
+    blank = F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda i: slot(i, F.lit(-1), clean(F.lit(""))))
+    every = F.array_sort(F.concat(blank, F.flatten(F.transform(F.coalesce(table["cells"], F.slice(table["cells"], 1, 0)), spread))))
+    # Bound to names of lambdas, so that each is computed once.
+    last = F.transform(F.array(every), lambda e: F.filter(e, lambda x, i: ~F.coalesce(F.get(e, i + 1)["at"] == x["at"], F.lit(False))))
+    lines = F.transform(
+        last, lambda d: F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.slice(d, r * cols + 1, cols), lambda x: x.text))
+    )[0]
     filled = (F.coalesce(rows, F.lit(0)) > 0) & (F.coalesce(cols, F.lit(0)) > 0)
-    # The sequence is only built for filled tables; a negative end would count downwards.
-    numbers = F.when(filled, F.sequence(F.lit(0), rows - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, line)
+    # Only filled tables come to the sequences; a negative end would count downwards.
+    return F.when(filled, lines).otherwise(F.array().cast("array<array<string>>"))
 
 
 def markdown_table(table: Column) -> Column:

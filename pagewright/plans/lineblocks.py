@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import geometry as G
-from ..operators.blocks import block_type
+from ..operators.blocks import PAGE, block_type
 from ..operators.correction import correct_blocks
 from ..operators.export import markdown
 from ..operators.layout import reading_order
 from ..operators.quality import review_routing
 from ..operators.spatial import merge_duplicates, suppress_inside
 from ..functions.text import clean_text
+from ..scratch import kept
 
 PAGE_WIDTH, PAGE_HEIGHT = 900, 2200
 
@@ -61,10 +62,22 @@ def with_structures(blocks: DataFrame) -> DataFrame:
 
 
 def postprocess(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Clean, suppress, merge duplicates, route to review: the whole chain of a page."""
+    """Clean, suppress, merge duplicates, route to review: the whole chain of a page.
+
+    The cleaned blocks are written down, as duplicates are searched for in them and then taken from them.
+    """
     text = F.when(F.col("type").isin("table", "figure"), F.col("text")).otherwise(clean_text(F.col("text")))
-    cleaned = blocks.withColumn("text", text)
-    return review_routing(merge_duplicates(suppress_inside(cleaned, s), s=s), s)
+    cleaned = kept(suppress_inside(blocks.withColumn("text", text), s), "clean-blocks")
+    return review_routing(merge_duplicates(cleaned, s=s), s)
+
+
+def removal_counts(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """``document_id, page_number, inside_structures, duplicates``: how many blocks the post-processing of a page removes."""
+    left = kept(suppress_inside(blocks, s), "suppressed")
+    merged = merge_duplicates(left, s=s)
+    counts = [t.groupBy(*PAGE).agg(F.count(F.lit(1)).alias(n)) for t, n in ((blocks, "all"), (left, "left"), (merged, "merged"))]
+    joined = counts[0].join(counts[1], PAGE, "left").join(counts[2], PAGE, "left").na.fill(0, ["left", "merged"])
+    return joined.select(*PAGE, (F.col("all") - F.col("left")).alias("inside_structures"), (F.col("left") - F.col("merged")).alias("duplicates"))
 
 
 def documents_to_markdown(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:

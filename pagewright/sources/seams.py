@@ -20,7 +20,7 @@ Recogniser = Callable[[DataFrame], DataFrame]
 
 OCR_SCHEMA = (
     "document_id string, page_number int, rec_texts array<string>, rec_scores array<double>, "
-    "rec_polys array<array<struct<x:double,y:double>>>"
+    "rec_polys array<array<struct<x:double,y:double>>>, error string"
 )
 
 
@@ -28,7 +28,7 @@ def recognise(pages: DataFrame, load: Callable[[], Callable[[bytes], tuple[list,
     """Recogniser arrays of page images.
 
     ``load()`` runs once for each worker task and returns a function from image bytes to texts, scores and
-    polygons.  A page on which it fails has empty arrays.
+    polygons.  A page on which it fails has empty arrays and the message in ``error``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,9 +38,10 @@ def recognise(pages: DataFrame, load: Callable[[], Callable[[bytes], tuple[list,
             for image in pdf["image"]:
                 try:
                     texts, scores, polygons = model(image)
-                except Exception:  # a page that a model cannot read must not fail the job
-                    texts, scores, polygons = [], [], []
-                out.append((texts, scores, [[{"x": x, "y": y} for x, y in p] for p in polygons]))
+                    error = None
+                except Exception as e:  # a page that a model cannot read must not fail the job
+                    texts, scores, polygons, error = [], [], [], str(e)[:1000] or type(e).__name__
+                out.append((texts, scores, [[{"x": x, "y": y} for x, y in p] for p in polygons], error))
             yield pd.DataFrame(
                 {
                     "document_id": pdf["document_id"],
@@ -48,6 +49,7 @@ def recognise(pages: DataFrame, load: Callable[[], Callable[[bytes], tuple[list,
                     "rec_texts": [o[0] for o in out],
                     "rec_scores": [o[1] for o in out],
                     "rec_polys": [o[2] for o in out],
+                    "error": [o[3] for o in out],
                 }
             )
 

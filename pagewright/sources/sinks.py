@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,26 @@ def replace_jobs(rows: DataFrame, path: str, key: str = "job_id") -> None:
 
 
 def write_blocks(pages: DataFrame, blocks: DataFrame, path: str) -> None:
-    """Pages and blocks of the jobs in the input; a reader sees old or new partitions of each table."""
-    replace_jobs(pages, f"{path}/pages")
-    replace_jobs(blocks, f"{path}/blocks")
+    """Pages and blocks of the jobs in the input, as one version of each job.
+
+    Both tables are written under a new version first.  Only then one small file says which version of these jobs
+    counts, so a reader sees the old pages with the old blocks or the new ones with the new ones.
+    """
+    version = uuid.uuid4().hex
+    stamped = [t.withColumn("_version", F.lit(version)) for t in (pages, blocks)]
+    for rows, name in zip(stamped, ("pages", "blocks")):
+        rows.write.mode("append").partitionBy("_version").parquet(f"{path}/{name}")
+    jobs = pages.select("job_id").union(blocks.select("job_id")).distinct()
+    said = jobs.select("job_id", F.lit(version).alias("_version"), F.current_timestamp().alias("at"))
+    said.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, blocks) of the latest version of every job."""
+    said = spark.read.parquet(f"{path}/versions")
+    now = said.groupBy("job_id").agg(F.max_by("_version", F.struct("at", "_version")).alias("_version"))
+    pages, blocks = (spark.read.parquet(f"{path}/{name}").join(now, ["job_id", "_version"], "left_semi").drop("_version") for name in ("pages", "blocks"))
+    return pages, blocks
 
 
 def write_report(rows: DataFrame, path: str) -> None:
