@@ -26,12 +26,12 @@ def block_type(text: Column, box: Column, s: Settings = DEFAULT) -> Column:
     return F.when(short & (box.y1 - box.y0 >= s.heading_height), "heading").otherwise("paragraph")
 
 
-def parse_lines(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def parse_lines(raw: DataFrame, s: Settings = DEFAULT, errors: bool = False) -> DataFrame:
     """Recogniser arrays ``rec_texts, rec_scores, rec_polys`` to one row for each line.
 
     The arrays are cut to the shortest.  Blank texts and polygons without points are dropped; the rest keep
-    their place as ``seq``.  Null arrays read as empty.  Where the recogniser has a column ``error``, a page
-    with an error has one more row that has nothing but it.
+    their place as ``seq``.  Null arrays read as empty.  With ``errors``, a page on which the recogniser
+    reports an ``error`` has one more row that has nothing but it.
     """
     names = ("rec_texts", "rec_scores", "rec_polys")
     n = F.least(*(F.coalesce(F.size(c), F.lit(0)) for c in names))
@@ -46,7 +46,7 @@ def parse_lines(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     kept = lines.filter((F.col("text") != "") & (F.size("points") > 0))
     boxed = kept.withColumn("bbox", G.polygon_bbox(F.col("points"))).drop("points")
     typed = boxed.withColumn("type", block_type(F.col("text"), F.col("bbox"), s))
-    if "error" not in raw.columns:
+    if not errors:
         return typed
     failed = raw.filter(F.col("error").isNotNull()).select(*PAGE, "error")
     return typed.unionByName(failed, allowMissingColumns=True)

@@ -59,7 +59,7 @@ def reading_order(blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     pages = blocks.groupBy(*PAGE).agg(F.collect_list(item).alias("items"))
     by_left = F.array_sort(F.transform(column_of(F.col("items"), s), lambda c, i: F.struct(c.x0.alias("left"), i.alias("opened"), c["items"].alias("items"))), _left)
     down = F.transform(
-        by_left, lambda c, k: F.transform(F.array_sort(F.transform(c["items"], lambda b, at: F.struct(b.y0, at, b.block.alias("block"))), _down), lambda b: F.struct((k + 1).alias("column_number"), b.block.alias("block")))
+        by_left, lambda c, k: F.transform(F.array_sort(F.transform(c["items"], lambda b, at: F.struct(b.y0.alias("y0"), at.alias("at"), b.block.alias("block"))), _down), lambda b: F.struct((k + 1).alias("column_number"), b.block.alias("block")))
     )
     rows = pages.select(*PAGE, F.posexplode(F.flatten(down)).alias("_at", "_b"))
     placed = rows.select(*PAGE, "_b.block.*", "_b.column_number", (F.col("_at") + 1).alias("reading_order"))

@@ -75,12 +75,12 @@ def with_scores(sums: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     said = F.col("text_languages")
     dominant = F.array_max(F.transform(F.array_distinct(said), lambda x: F.size(F.filter(said, lambda y: y == x))))
-    covered = F.least(F.col("covered") / F.col("page_area"), F.lit(1.0))
+    covered = F.least(F.coalesce(F.col("covered"), F.lit(0.0)) / F.col("page_area"), F.lit(1.0))
     parts = {
         "confidence": share("c_sum", "n_text"),
         "text_quality": share("n_unchanged", "n_filled"),
         "character_quality": share("expected", "chars"),
-        "coverage": F.when(F.col("page_area") > 0, F.coalesce(covered, F.lit(0.0))).otherwise(0.0),
+        "coverage": F.when(F.col("page_area") > 0, covered).otherwise(0.0),
         "language_consistency": F.when(F.col("n_text") > 0, dominant / F.col("n_text")).otherwise(1.0),
     }
     weights = (s.weight_confidence, s.weight_text, s.weight_characters, s.weight_coverage, s.weight_language)

@@ -697,8 +697,8 @@ _REVIEWED = "CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence >= 0.75
     + f""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x0, y0, seq) AS r FROM b),
     n AS (SELECT doc_id, md5(string_agg('p1_b' || r || '/' || type || '/' || {_REVIEWED} || '/' || round(x0) || '/' || text, chr(10) ORDER BY r)) AS blocks, count(*) AS n_blocks FROM o GROUP BY doc_id),
     m AS (SELECT s.doc_id, quality_score, confidence, n.n_blocks, n.blocks FROM s JOIN n USING (doc_id))
-    SELECT d.doc_id AS document_id, d.source AS filename, 2 AS page_count, CASE WHEN m.doc_id IS NULL THEN 0.85 ELSE round(CAST(quality_score AS DOUBLE), 4) END AS quality_score,
-      0.85 AS blank_quality, round(CAST((coalesce(quality_score, 0.85) + 0.85) / 2 AS DOUBLE), 9) AS avg_quality_score, coalesce(round(confidence, 4), 0.0) AS avg_confidence,
+    SELECT d.doc_id AS document_id, d.source AS filename, 2 AS page_count, CASE WHEN m.doc_id IS NULL THEN CAST(0.85 AS DOUBLE) ELSE round(CAST(quality_score AS DOUBLE), 4) END AS quality_score,
+      CAST(0.85 AS DOUBLE) AS blank_quality, round(CAST((coalesce(quality_score, 0.85) + 0.85) / 2 AS DOUBLE), 9) AS avg_quality_score, coalesce(round(confidence, 4), 0.0) AS avg_confidence,
       CASE WHEN coalesce(confidence, 0) < 0.8 THEN '1,2' ELSE '2' END AS low_confidence_pages, CASE WHEN m.doc_id IS NULL THEN '' ELSE d.lang END AS languages,
       'original,enhanced' AS attempts, coalesce(n_blocks, 0) AS n_blocks, blocks
     FROM documents d LEFT JOIN m USING (doc_id)"""
@@ -1002,9 +1002,9 @@ _MARKED = rf"regexp_replace(%s, '{_HIT}', '\1' || chr(1) || '\2' || chr(2) || '\
     rf"""WITH {_TERMS}, u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM t),
     h AS (SELECT doc_id, n, count(*) AS k, count(DISTINCT x) AS d FROM u WHERE x IN ('the', 'with', 'that') GROUP BY ALL),
     r AS (SELECT doc_id, k / (1.0 + ln(1.0 + n)) AS rank FROM h WHERE d = 3 ORDER BY rank DESC, doc_id LIMIT 100),
-    s AS (SELECT r.doc_id, r.rank, source, list_filter(regexp_split_to_array(translate(text, chr(1) || chr(2), ''), '[ \t\n\x{{0B}}\f\r]+'), x -> x <> '') AS parts
+    s AS (SELECT r.doc_id, r.rank, source, list_filter(regexp_split_to_array(translate(text, chr(1) || chr(2), ''), '[ \t\n\x{{0B}}\f\r]+'), lambda x: x <> '') AS parts
       FROM r JOIN documents USING (doc_id)),
-    f AS (SELECT *, list_position(list_transform(parts, x -> regexp_matches(x, '{_HIT}')), true) AS first FROM s),
+    f AS (SELECT *, list_position(list_transform(parts, lambda x: regexp_matches(x, '{_HIT}')), true) AS first FROM s),
     p AS (SELECT *, array_to_string(parts[greatest(1, first - 10):greatest(1, first - 10) + 34], ' ') AS piece FROM f)
     SELECT doc_id AS document_id, source AS filename, doc_id AS job_id, 1 AS page_number, {_MARKED % (_MARKED % "piece")} AS snippet, round(rank, 6) AS rank FROM p"""
 )
@@ -1041,10 +1041,10 @@ def cer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT p_type AS language, 'v5' AS model, replace(p_name, 'e', '') AS p, p_name AS t FROM part UNION ALL SELECT p_type, 'stock', 'widget', p_name FROM part),
-    w AS (SELECT *, list_filter(string_split(p, ' '), x -> x <> '') AS pw, list_filter(string_split(t, ' '), x -> x <> '') AS tw FROM s),
+    w AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(t, ' '), lambda x: x <> '') AS tw FROM s),
     c AS (SELECT *, list_distinct(list_concat(pw, tw)) AS d FROM w),
-    e AS (SELECT *, array_to_string(list_transform(pw, x -> chr(CAST(64 + list_position(d, x) AS INTEGER))), '') AS pc,
-      array_to_string(list_transform(tw, x -> chr(CAST(64 + list_position(d, x) AS INTEGER))), '') AS tc FROM c)
+    e AS (SELECT *, array_to_string(list_transform(pw, lambda x: chr(CAST(64 + list_position(d, x) AS INTEGER))), '') AS pc,
+      array_to_string(list_transform(tw, lambda x: chr(CAST(64 + list_position(d, x) AS INTEGER))), '') AS tc FROM c)
     SELECT language, model, CAST(count(*) AS INTEGER) AS n_samples, round(avg(levenshtein(p, t) / length(t)), 9) AS avg_cer,
       round(avg(levenshtein(pc, tc) / length(tc)), 9) AS avg_wer FROM e GROUP BY ALL"""
 )

@@ -143,7 +143,7 @@ def recognise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").filter("text IS NOT NULL")
     image = F.concat(F.when(F.col("doc_id") % 9 == 0, "!").otherwise(""), "text").cast("binary")
     pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), image.alias("image"))
-    found = blocks.parse_lines(seams.recognise(pages, load))
+    found = blocks.parse_lines(seams.recognise(pages, load), errors=True)
     counted = found.groupBy("document_id").agg(F.count("seq").alias("blocks"), F.max(F.col("error").isNotNull()).alias("failed"))
     out = pages.select("document_id").join(counted, "document_id", "left")
     return out.select(F.col("document_id").cast("long").alias("document_id"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("failed", F.lit(False)).alias("failed"))
