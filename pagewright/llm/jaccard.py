@@ -48,7 +48,7 @@ MEETING_ROWS, MEETING_GROUP = 50_000, 256
 #: A shingle that 2 to this power classes hold or more is dealt to several tasks, as pairs of blocks.
 MEETING_LEVEL = 17
 #: A region with more sets or shingles than this is divided by pivots across tasks.
-REGION_SETS, REGION_SHINGLES = 5_000, 3_000_000
+REGION_SETS, REGION_SHINGLES = 1_000, 1_000_000
 #: Pivots of a region, the most shingles that one may have, and the size from which memory takes several at once.
 PIVOTS, PIVOT_SHINGLES, SEVERAL = 8, 100_000, 64
 #: Cells are joined as such if each has at most this share of its region's sets, and all together this many times.
