@@ -660,7 +660,8 @@ def _divide(sets: DataFrame, rows: DataFrame, large: DataFrame, percent: int, re
         fits = shape.filter("blocks = 1").select("piece")
         pieces = divided.join(broadcast_if_small(fits), "piece").select("piece", "doc", "known")
         pieces = pieces.union(_blocks(placed, flat.unionByName(whole)))
-        links.append(_join_pieces(stored(pieces, "pieces").join(sets.select("doc", "shingles"), "doc"), percent))
+        full = stored(pieces, "pieces").join(sets.select("doc", "shingles"), "doc")
+        links.append(stored(_join_pieces(full, percent), "piece-links"))
         large = shape.filter("blocks > 1").join(broadcast_if_small(stuck.withColumnRenamed("piece", "above")), "above", "left_anti")
         large = stored(large.select("piece", "sets", "blocks"), "large-cells")
         rows = divided.join(broadcast_if_small(large.select("piece")), "piece").select("piece", "doc", "n")
@@ -687,7 +688,8 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
     Two documents link if ``100 * intersection >= percent * union`` of their sets of shingles.  The
     component is the smallest id reachable by links, the own id included.  Null texts and texts without
     words have no shingles and link with nothing.  Documents that share an id are one node.  A row
-    without an id takes the component of the documents with its set, if any.  Other columns are ignored.
+    without an id takes the component of the documents with its set, if any.  An empty table gives no rows;
+    other columns are ignored.
     """
     return _components(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -715,7 +717,8 @@ def _components(
     levels = spark.sparkContext.broadcast(_levels(first.filter("kind = 1").select("shingle", "n")))
 
     met = stored(_meetings(rows, levels, words, percent), "meetings")
-    edges = _meeting_edges(met.filter("kind = 0"), percent).union(met.filter("kind = 1").select("a", "b"))
+    # Edges are written before they are joined to components: a task then needs one Python worker at a time.
+    edges = stored(_meeting_edges(met.filter("kind = 0"), percent), "meeting-edges").union(met.filter("kind = 1").select("a", "b"))
     parts = connected_components(edges).withColumnRenamed("node", "b")
     nodes = met.filter("kind = 2").select(F.col("a").alias("h1"), "b").distinct()
     regions = nodes.join(parts, "b", "left").select("h1", F.coalesce("component", "b").alias("region"))
@@ -732,7 +735,8 @@ def _components(
     large = stored(_shape(named_sets, region_sets, region_shingles).filter("blocks > 1"), "large-regions")
     small = named_sets.join(broadcast_if_small(large.select("piece")), "piece", "left_anti")
     # Nodes are classes, not ids: an id may have several texts.
-    links = [_join_pieces(small.select("piece", "doc", F.col("doc").alias("known"), "shingles"), percent)]
+    small = small.select("piece", "doc", F.col("doc").alias("known"), "shingles")
+    links = [stored(_join_pieces(small, percent), "region-links")]
     if large.limit(1).count():
         rows_of = named_sets.join(broadcast_if_small(large.select("piece")), "piece").select("piece", "doc", "n", "shingles")
         links += _divide(sets, stored(rows_of, "large-region-sets"), large, percent, region_sets, region_shingles)

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,10 +135,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     spark: SparkSession = pieces.sparkSession
     counts = stored(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.createDataFrame(
-        _ranges(plan_packing(histogram, capacity)),
-        "r_length int, r_from long, r_to long, r_sequence long, r_offset long",
-    )
+    ranges = np.array(_ranges(plan_packing(histogram, capacity)), np.int64).reshape(-1, 5)
+    # An Arrow table comes to the JVM as it is; a list of rows would start Python workers of its own.
+    slots = spark.createDataFrame(pa.table(dict(zip(("r_length", "r_from", "r_to", "r_sequence", "r_offset"), ranges.T))))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
