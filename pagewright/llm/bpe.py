@@ -292,7 +292,7 @@ def encode_documents(
 
     One row for each document: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``with_ids``,
     ``ids array<int>`` and ``decoded string``.  Null text is empty: no ids, and the hashes of the empty
-    string.  Repeated rows are kept; other columns are ignored.
+    string.  An empty table gives no rows; repeated rows are kept; other columns are ignored.
     """
     prepare(docs.sparkSession)
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")

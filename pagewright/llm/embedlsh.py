@@ -4,7 +4,8 @@ Vectors are normalised, so a cosine of at least t is a distance of at most sqrt(
 vector by several random projections, each shifted and cut into cells of fixed width; vectors with equal
 cells share a bucket.  The number of projections follows the logarithm of the number of vectors (so that
 buckets stay small) and the number of tables follows from the recall asked for.  Inside the buckets every
-pair is compared exactly.
+pair is compared exactly; buckets of any size are dealt out as pairs of blocks, and vectors travel in single
+precision where that loses nothing.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, whole_partition
+from .common import broadcast_if_small, join_hot, prepare, stored, whole_partition
 from .graph import connected_components, smallest_reachable
 
 #: Cell width for unit vectors.
 WIDTH = 1.5
 #: Rows of a bucket that are compared in one piece; larger buckets are dealt out as pairs of blocks.
-BLOCK = 256
+BLOCK = 1024
+#: Groups of at least this size are compared by products of matrices.
+MATRIX = 64
 
 
 def cell_chance(distance: float, width: float = WIDTH) -> float:
@@ -50,21 +53,43 @@ def _usable() -> Column:
     return F.col("label").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
+def packed(v: np.ndarray) -> bytes:
+    """The vector's bytes: a mark, then single precision where that loses nothing, else double."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return b"f" + short.tobytes() if np.array_equal(short, v) else b"d" + v.tobytes()
+
+
+def unpacked(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of one dimension in double precision."""
+    out = np.empty((len(raw), dim))
+    for mark, kind in ((b"f", "<f4"), (b"d", "<f8")):
+        own = [i for i, r in enumerate(raw) if r[:1] == mark]
+        if own:
+            out[own] = np.frombuffer(b"".join(raw[i][1:] for i in own), kind).reshape(len(own), dim)
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _classes(rows: DataFrame) -> DataFrame:
-    """``vec_id, label, dim, h1, h2, raw``: the vector's bytes and a 128-bit digest of them."""
+    """``vec_id, label, dim, h1, h2, raw``: the vector's bytes and a 128-bit digest of its numbers."""
 
     def work(batches):
         for batch in batches:
-            raw = [np.asarray(v, "<f8").tobytes() for v in batch.column(2).to_pylist()]
-            halves = [divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw]
+            own = [np.asarray(v, "<f8") + 0.0 for v in batch.column(2).to_pylist()]  # -0 and 0 are one number
+            halves = [divmod(xxhash.xxh3_128_intdigest(v.tobytes()), 1 << 64) for v in own]
             signed = [[x - (1 << 64) if x >> 63 else x for x in h] for h in halves]
             yield {
                 "vec_id": batch.column(0),
                 "label": batch.column(1),
-                "dim": [len(r) // 8 for r in raw],
+                "dim": [len(v) for v in own],
                 "h1": [h[0] for h in signed],
                 "h2": [h[1] for h in signed],
-                "raw": raw,
+                "raw": [packed(v) for v in own],
             }
 
     schema = "vec_id long, label long, dim int, h1 long, h2 long, raw binary"
@@ -86,9 +111,7 @@ def _with_keys(reps: DataFrame, projections: int, tables: int, seed: int) -> Dat
                 if dim not in known:
                     known[dim] = _projections(int(dim), projections * tables, seed)
                 own = np.flatnonzero(dims == dim)
-                x = np.stack([np.frombuffer(raw[i], "<f8") for i in own])
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(unpacked([raw[i] for i in own], int(dim)))
                 cells = np.floor((x @ known[dim][0] + known[dim][1]) / WIDTH).astype(np.int64)
                 with np.errstate(over="ignore"):
                     h = (cells.reshape(len(own), tables, projections) * mix[:, :projections]).sum(axis=2)
@@ -131,6 +154,43 @@ def _buckets(keyed: DataFrame, tables: int) -> DataFrame:
     return whole_partition(keyed.select("rep", "label", "dim", "keys"), work, schema)
 
 
+def _earlier(keys: list[bytes], slot: np.ndarray, tables: int) -> np.ndarray:
+    """The keys of the tables before the row's own, zeros after them."""
+    out = np.zeros((len(keys), tables), np.uint32)
+    for k in np.unique(slot):
+        own = np.flatnonzero(slot == k)
+        out[own, :k] = np.frombuffer(b"".join([keys[i] for i in own]), "<u4").reshape(len(own), k)
+    return out
+
+
+def _near(x: np.ndarray, group: np.ndarray, side: np.ndarray, threshold: float):
+    """Pairs of rows of one group, as arrays of the first and the second, whose cosine reaches the threshold.
+
+    The rows come sorted by group.  Blocks i and j of one bucket: inside a block only its own piece (i, i) compares.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
+    at = np.flatnonzero(np.repeat(sizes < MATRIX, sizes))
+    for step in range(1, MATRIX):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        pairs = at[(side[at] != side[at + step]) | (side[at] == 2)]
+        for p in np.array_split(pairs, max(1, len(pairs) // 8192)):
+            near = np.einsum("ij,ij->i", x[p], x[p + step]) >= threshold
+            if near.any():
+                yield p[near], p[near] + step
+    for start, size in zip(starts[sizes >= MATRIX], sizes[sizes >= MATRIX]):
+        own = np.arange(start, start + size)
+        left, right = own[side[own] != 1], own[side[own] != 0]
+        for part in np.array_split(left, max(1, len(left) // 256)):
+            p, q = np.nonzero(x[part] @ x[right].T >= threshold)
+            p, q = part[p], right[q]
+            once = (side[p] != side[q]) | (p < q)
+            yield p[once], q[once]
+
+
 def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
     """Exact comparison inside ``(label, dim, slot, key, i, j)``, which the rows come sorted by.
 
@@ -147,44 +207,31 @@ def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
         dims = np.concatenate([h["dim"] for h in held])
         keys = np.concatenate([h["keys"] for h in held])
         raw = [r for h in held for r in h["raw"]]
-        links: dict[int, int] = {}
+        links = np.zeros(len(rep), np.int64)
         edge_a, edge_b = [], []
         for dim in np.unique(dims):
             own = np.flatnonzero(dims == dim)
-            x = np.frombuffer(b"".join([raw[i] for i in own]), "<f8").reshape(len(own), int(dim))
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(unpacked([raw[i] for i in own], int(dim)))
             g, r, w, s, t, k = (v[own] for v in (group, rep, weight, side, slot, keys))
-            at = np.arange(len(own))
-            for step in range(1, len(own)):
-                at = at[at + step < len(own)]
-                at = at[g[at] == g[at + step]]
-                if not len(at):
-                    break
-                # Blocks i and j of one bucket: inside a block only its own piece (i, i) compares.
-                pairs = at[(s[at] != s[at + step]) | (s[at] == 2)]
-                for p in np.array_split(pairs, max(1, len(pairs) // 8192)):
-                    q = p + step
-                    near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-                    p, q = p[near], q[near]
-                    if not len(p):
-                        continue
-                    before = (k[p] == k[q]) & (np.arange(tables)[None, :] < t[p][:, None])
-                    first = ~before.any(axis=1) & (r[p] != r[q])
-                    p, q = p[first], q[first]
-                    for a, b in ((p, q), (q, p)):
-                        for v, n in zip(r[a].tolist(), w[b].tolist()):
-                            links[v] = links.get(v, 0) + n
-                    edge_a.append(r[p])
-                    edge_b.append(r[q])
+            for p, q in _near(x, g, s, threshold):
+                before = (k[p] == k[q]) & (np.arange(tables)[None, :] < t[p][:, None])
+                first = ~before.any(axis=1) & (r[p] != r[q])
+                p, q = p[first], q[first]
+                for a, b in ((p, q), (q, p)):
+                    np.add.at(links, own[a], w[b])
+                edge_a.append(r[p])
+                edge_b.append(r[q])
         a = np.concatenate([*edge_a, np.empty(0, np.int64)])
         b = np.concatenate([*edge_b, np.empty(0, np.int64)])
         nodes, low = smallest_reachable(a, b)
         span = nodes != low
+        known, place = np.unique(rep[links > 0], return_inverse=True)
+        counts = np.zeros(len(known), np.int64)
+        np.add.at(counts, place, links[links > 0])
         return {
-            "kind": np.concatenate([np.zeros(len(links), np.int32), np.ones(int(span.sum()), np.int32)]),
-            "a": np.concatenate([np.array([*links], np.int64), nodes[span]]),
-            "b": np.concatenate([np.array([*links.values()], np.int64), low[span]]),
+            "kind": np.concatenate([np.zeros(len(known), np.int32), np.ones(int(span.sum()), np.int32)]),
+            "a": np.concatenate([known, nodes[span]]),
+            "b": np.concatenate([counts, low[span]]),
         }
 
     def work(batches):
@@ -216,7 +263,6 @@ def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
 
     def _slice(part, group, cols, a, b):
         cut = part.slice(a, b - a)
-        n = cut.num_rows
         return {
             "group": group[a:b],
             "rep": cut.column("rep").to_numpy(zero_copy_only=False),
@@ -224,7 +270,7 @@ def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
             "side": cut.column("side").to_numpy(zero_copy_only=False),
             "slot": cols["slot"][a:b],
             "dim": cols["dim"][a:b],
-            "keys": np.frombuffer(b"".join(cut.column("keys").to_pylist()), "<u4").reshape(n, tables),
+            "keys": _earlier(cut.column("keys").to_pylist(), cols["slot"][a:b], tables),
             "raw": cut.column("raw").to_pylist(),
         }
 
@@ -268,13 +314,13 @@ def near_duplicates(
 
     bucket = ["label", "dim", "slot", "key"]
     places = _buckets(keyed, tables)
-    shared = places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # Block b takes part in the pieces (b, j) and (i, b).  Side 0 and 1 are the two blocks of a piece; side 2
     # is a piece of one block alone.
     placed = (
-        places.join(shared, bucket)
+        places.join(broadcast_if_small(shared), bucket)
         .withColumn("blocks", blocks)
         .withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -286,7 +332,8 @@ def near_duplicates(
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    full = placed.join(keyed.select("rep", "weight", "raw", "keys"), "rep")
+    # A pair counts in its first table, so a row needs its keys only up to its own one.
+    full = placed.join(keyed.select("rep", "weight", "raw", "keys"), "rep").withColumn("keys", F.expr("substring(keys, 1, slot * 4)"))
     piece = [*bucket, "i", "j"]
     compared = stored(
         _compare(full.repartition(*piece).sortWithinPartitions(*piece), tables, threshold), "vector-links"
@@ -300,15 +347,20 @@ def near_duplicates(
         .select(
             *key,
             "smallest",
+            F.col("weight").alias("members"),
             (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
             F.coalesce("component", "rep").alias("component"),
         )
     )
-    named = found.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    linked_rows = (
-        members.select("vec_id", *key)
-        .join(found.join(named, "component").select(*key, "n_links", "component_id"), key)
-        .select("vec_id", "n_links", "component_id")
+    found = stored(found, "vector-classes")
+    named = found.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    total = members.count()
+    placed = join_hot(found.drop("smallest").withColumnRenamed("members", "weight"), stored(named, "vector-components"), ["component"], total)
+    # A class is alone if it is one vector without links: such rows keep their own id and need no join.
+    classes = placed.select(*key, F.col("weight").alias("members"), "n_links", "component_id").filter("members > 1 OR n_links > 0")
+    joined = join_hot(members.select("vec_id", *key), stored(classes, "linked-vectors"), key, total)
+    linked_rows = joined.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("members").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     )
     alone = rows.filter(~F.col("ok")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

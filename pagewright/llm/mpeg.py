@@ -5,7 +5,8 @@ with its CRC-16; the last frame takes the smallest bitrate that holds the rest,
 variable bitrate and opens with a table frame.  A tag in front names the payload's size and checksum.
 
 Reading works on any MPEG 1, 2 or 2.5 stream of layers I to III: tags are parsed, frames are followed
-by their computed lengths, and after damage the next place with two consistent headers is sought.
+by their computed lengths, checksums of protected frames are verified in all layers, and after damage the next
+place with two consistent headers is sought.  Frames of free format name no length, so they count as damage.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +52,8 @@ class Header:
     length: int
     samples: int
     side: int
+    mode: int
+    extension: int
 
 
 @lru_cache(maxsize=4096)
@@ -70,7 +74,7 @@ def read_header(word: bytes) -> Header | None:
         length = samples // 8 * 1000 * bitrate // rate + pad
     mono = word[3] >> 6 == 3
     side = 0 if layer < 3 else (17 if mono else 32) if one else (9 if mono else 17)
-    return Header(version, layer, not word[1] & 1, bitrate, rate, mono, length, samples, side)
+    return Header(version, layer, not word[1] & 1, bitrate, rate, mono, length, samples, side, word[3] >> 6, word[3] >> 4 & 3)
 
 
 @lru_cache(maxsize=4096)
@@ -84,6 +88,48 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _allocation(head: Header) -> list[int]:
+    """Bits of the allocation of each subband of a layer I or II frame; fixed values of the standards."""
+    if head.layer == 1:
+        return [4] * 32
+    if head.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = head.bitrate // (1 if head.mono else 2)
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if head.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or head.rate == 48000 else 7)
+
+
+def _checked_bits(head: Header, inside: bytes) -> int:
+    """How many bits after the checksum it covers: the allocation and, in layer II, the choice of scale factors."""
+    widths = _allocation(head)
+    channels = 1 if head.mono else 2
+    bound = min(4 * (head.extension + 1), len(widths)) if head.mode == 1 else len(widths)
+    value, size, at, more = int.from_bytes(inside, "big"), 8 * len(inside), 0, 0
+    for band, n in enumerate(widths):
+        apart = channels if band < bound else 1
+        for _ in range(apart):
+            at += n
+            if head.layer == 2 and at <= size and value >> size - at & (1 << n) - 1:
+                more += 2 * channels // apart
+    return at + more
+
+
+def _checksum_holds(head: Header, media: bytes, at: int) -> bool:
+    """Whether the checksum of the protected frame at ``at`` is right."""
+    stated, inside = int.from_bytes(media[at + 4 : at + 6], "big"), at + 6
+    if head.layer == 3:
+        return stated == crc16(media[at + 2 : at + 4] + media[inside : inside + head.side])
+    # 32 subbands of 2 channels have at most 32 bytes of allocation and 16 of choices.
+    own = media[inside : min(inside + 48, at + head.length)]
+    n = _checked_bits(head, own)
+    crc = crc16(media[at + 2 : at + 4] + own[: n // 8])
+    for k in range(n // 8 * 8, n):
+        top = crc >> 15 ^ (own[k // 8] >> 7 - k % 8 & 1 if k // 8 < len(own) else 0)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return stated == crc
+
+
 def _frame_head(bits: int) -> bytes:
     """Header, checksum and empty side information of a protected MPEG-1 Layer III mono frame, 32 kHz."""
     header = bytes([0xFF, 0xFA, bits << 4 | 2 << 2, 0xC0])
@@ -149,8 +195,7 @@ class Audio:
     table_bytes: int | None = None
     toc: bytes = b""
     offsets: list[int] = field(default_factory=list)
-    samples: int = 0
-    rate: int = 0
+    rates: dict[int, int] = field(default_factory=dict)
     bitrates: set[int] = field(default_factory=set)
     bad_checksums: int = 0
     gaps: list[tuple[int, int]] = field(default_factory=list)
@@ -158,8 +203,13 @@ class Audio:
 
     @property
     def duration_us(self) -> int:
-        """Exact duration of the frames in whole microseconds, rounded down."""
-        return self.samples * 1_000_000 // self.rate if self.rate else 0
+        """Exact duration of the frames, each at its own rate, in whole microseconds, rounded down."""
+        return int(sum((Fraction(n * 1_000_000, rate) for rate, n in self.rates.items()), Fraction(0)))
+
+    @property
+    def rate(self) -> int:
+        """Rate of the first frame."""
+        return next(iter(self.rates), 0)
 
 
 def _read_tags(media: bytes, audio: Audio) -> tuple[int, int]:
@@ -215,10 +265,8 @@ def decode(media: bytes) -> Audio:
             continue
         inside = at + 4
         if head.protected:
-            stated = int.from_bytes(media[inside : inside + 2], "big")
             inside += 2
-            if head.layer == 3 and stated != crc16(media[at + 2 : at + 4] + media[inside : inside + head.side]):
-                audio.bad_checksums += 1
+            audio.bad_checksums += not _checksum_holds(head, media, at)
         inside += head.side
         stop = at + head.length
         if not audio.offsets and audio.table_frames is None and media[inside : inside + 4] in (b"Xing", b"Info"):
@@ -234,8 +282,7 @@ def decode(media: bytes) -> Audio:
             audio.table_frames = int.from_bytes(media[at + 50 : at + 54], "big")
         else:
             audio.offsets.append(at)
-            audio.samples += head.samples
-            audio.rate = audio.rate or head.rate
+            audio.rates[head.rate] = audio.rates.get(head.rate, 0) + head.samples
             audio.bitrates.add(head.bitrate)
             kept.append(media[inside:stop])
         at = stop
@@ -254,7 +301,8 @@ def payload_of(audio: Audio) -> tuple[int, bytes] | None:
 
 
 def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, media``: each text as an MPEG audio column.  Null text is empty; other columns are ignored."""
+    """``doc_id, media``: each text as an MPEG audio column.  Null text is empty; an empty table
+    gives no rows; other columns are ignored."""
     prepare(docs.sparkSession)
 
     def make():
@@ -269,7 +317,8 @@ def read_media(media: DataFrame, with_payload: bool = False) -> DataFrame:
 
     ``n_bytes, payload_bytes, payload_sha256, tail_crc32`` (null where the payload is not intact),
     ``media_bytes, media_sha256, frames, duration_us, frame_offsets, table_frames, bad_checksums, gap_bytes,
-    feature``.  Null media reads as no bytes: zero frames and null payload columns.
+    feature``.  Null media reads as no bytes: zero frames and null payload columns.  An empty table gives no
+    rows; repeated rows are kept; other columns are ignored.
     """
     prepare(media.sparkSession)
     schema = (

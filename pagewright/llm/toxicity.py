@@ -257,7 +257,11 @@ def score(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, below: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold; columns unchanged."""
+    """The rows of ``docs`` that score below the threshold; columns unchanged.
+
+    Null and empty texts have the score of a text without entries, so they stay.  Rows with a null id and repeated
+    rows are judged by their text like all others; an empty table stays empty.
+    """
     prepare(docs.sparkSession)
 
     def make():

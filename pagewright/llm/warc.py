@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, whole_partition
+from .common import join_hot, prepare, stored, whole_partition
 
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -25,8 +25,8 @@ PLACES = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 ID = "<urn:x-page:{}>"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Spreads the rows of one digest over this many tasks.
-SALTS = 16
+#: Bytes of the largest file that is read as one value.
+LARGEST_FILE = 1 << 30
 
 
 def make_record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, date: str = DATE) -> bytes:
@@ -136,41 +136,88 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, end + len(END) - at, kind, headers, payload, full, digest.removeprefix("sha256:")), end + len(END)
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends; fed in steps, so a member costs its own size."""
+def _before_damage(data: bytes, at: int) -> list[bytes]:
+    """What a damaged member gives up to its damage: steps that fail are tried again as smaller ones."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 12
+    while at < len(data) and step:
+        ahead = z.copy()
+        try:
+            out.append(ahead.decompress(data[at : at + step]))
+            z, at = ahead, at + step
+        except zlib.error:
+            step //= 16
+    return out
+
+
+def _inflate(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, str]:
+    """The gzip member at ``at``, where it ends, and what is wrong with it; fed in steps, so a member costs its own size.
+
+    What comes before the damage of a member is given back too.
+    """
     z = zlib.decompressobj(31)
-    out, p, view = [], at, memoryview(data)
+    out, p, view, why = [], at, memoryview(data), ""
     try:
         while not z.eof:
             if p >= len(data):
-                raise Damaged("member cut off")
+                why = "member cut off"
+                break
             out.append(z.decompress(view[p : p + step]))
             p += step
     except zlib.error as e:
-        raise Damaged("member checksum" if "check" in str(e) else "member") from None
-    return b"".join(out), min(p, len(data)) - len(z.unused_data)
+        why = "member checksum" if "check" in str(e) else "member"
+        out = _before_damage(data, at)
+    return b"".join(out), min(p, len(data)) - len(z.unused_data), why
 
 
-def _take(data: bytes, at: int) -> tuple[list[Record], int]:
-    if data.startswith(MEMBER, at):
-        inside, end = _inflate(data, at)
-        found, p = [], 0
-        while p < len(inside):
-            record, p = _parse(inside, p)
+def _inside(data: bytes) -> tuple[list[Record], str]:
+    """The records of an inflated member that pass their checks, and the first failed check."""
+    found, at, why = [], 0, ""
+    while at < len(data):
+        try:
+            record, at = _parse(data, at)
             found.append(record)
-        for r in found:
-            r.offset, r.length = at, end - at
-        return found, end
-    record, end = _parse(data, at)
-    return [record], end
+        except Damaged as e:
+            why = why or str(e)
+            later = VERSION.search(data, at + 1)
+            at = later.start() if later else len(data)
+    return found, why
+
+
+def _take(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The records at ``at``, where they end, and what is wrong among them.
+
+    A member that holds a single record stands or falls with it and with its own checksum.  Of a member with
+    several the records that pass are kept; where the member itself is damaged, only those whose block has a
+    digest, as nothing else vouches for them.
+    """
+    if not data.startswith(MEMBER, at):
+        record, end = _parse(data, at)
+        return [record], end, ""
+    inside, end, why = _inflate(data, at)
+    found, bad = _inside(inside)
+    several = len(found) > 1 or (bool(found) and bool(bad))
+    if (why or bad) and not several:
+        raise Damaged(why or bad)
+    if why:
+        found = [r for r in found if r.headers.get("warc-block-digest", "").startswith("sha256:")]
+        if not found:
+            raise Damaged(why)
+    for r in found:
+        # Inside a gap a record has no bytes of its own.
+        r.offset, r.length = at, 0 if why or bad else end - at
+    return found, end, why or (f"inside a member: {bad}" if bad else "")
 
 
 def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass their checks, and the byte gaps that were quarantined."""
+    """All records of an archive that pass their checks, and the byte gaps that were quarantined.
+
+    A member in which some records fail is a gap, too; the records that were recovered from it have length 0.
+    After a member that is damaged itself the search goes on at the next place behind its beginning.
+    """
     out, at, bad, why = Salvage(), 0, None, ""
     while at < len(data):
         try:
-            found, end = _take(data, at)
+            found, end, wrong = _take(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -181,7 +228,14 @@ def salvage(data: bytes) -> Salvage:
             out.gaps.append((bad, at, why))
             bad = None
         out.records += found
-        at = end
+        if wrong.startswith("member"):
+            bad, why = at, wrong
+            later = PLACES.search(data, at + 1)
+            at = later.start() if later else len(data)
+        else:
+            if wrong:
+                out.gaps.append((at, end, wrong))
+            at = end
     if bad is not None:
         out.gaps.append((bad, len(data), why))
     return out
@@ -191,22 +245,24 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """``page_id, url, payload, digest, refers_to``: who is a response (null) and who revisits whom.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is the response; rows that repeat
-    that page_id are responses too.  Digests are pre-aggregated before the shuffle, and the join is
-    salted, so a payload that a third of all pages share is spread over many tasks.
+    that page_id are responses too, and rows without an id revisit the smallest one.  Only digests are
+    aggregated, and only repeated ones are joined: those that many pages share, and all while they are few,
+    are broadcast, so a payload stays where it was read.  Columns other than ``page_id, url, html`` are ignored,
+    whatever their names; an empty table gives no rows.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    first = (
+    counted = (
         rows.filter(F.octet_length("payload") >= least)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("members"))
+        .filter(F.col("members") > 1)
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(first, ["digest", "salt"], "left")
+    counted = stored(counted, "repeated-digests")
+    total = counted.agg(F.sum("members")).first()[0] or 0
+    joined = join_hot(rows, counted, ["digest"], total)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -215,7 +271,8 @@ def write_archives(pages: DataFrame, least: int = 100, level: int = 6, segment_b
     """Archives of all pages as a stored table ``archive, segment, content``.
 
     A segment is a run of whole gzip members, so the segments of an archive put together in order are a
-    .warc.gz file, and each can be read alone.  Null html is an empty payload.
+    .warc.gz file, and each can be read alone.  Null html is an empty payload, a null url an empty one; an
+    empty table gives no archives; other columns are ignored, whatever their names.
     """
     prepare(pages.sparkSession)
 
@@ -271,6 +328,15 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def read_archive_files(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Salvage .warc and .warc.gz files under ``path``, in any store that Spark can read."""
+    """Salvage .warc and .warc.gz files under ``path``, in any store that Spark can read.
+
+    A file is one value of one task, so its size is checked before it is read: a file of more than LARGEST_FILE
+    bytes becomes one gap that names its size, and is not read.  Split such files at members first.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return read_archives(files.select(F.col("path").alias("archive"), F.lit(0).alias("segment"), "content"), with_payload)
+    fits = F.col("length") <= LARGEST_FILE
+    read = read_archives(files.filter(fits).select(F.col("path").alias("archive"), F.lit(0).alias("segment"), "content"), with_payload)
+    large = files.filter(~fits).select(
+        F.col("path").alias("archive"), F.lit(0).alias("segment"), F.lit(0).cast("long").alias("offset"), "length", F.lit("larger than one task reads").alias("gap_reason")
+    )
+    return read.unionByName(large, allowMissingColumns=True)

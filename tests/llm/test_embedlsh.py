@@ -89,3 +89,41 @@ def test_plan():
     assert E.cell_chance(1e-6) == pytest.approx(1, abs=1e-4) and E.cell_chance(100.0) < 0.02
     small, large = E.plan_tables(100, 0.93, 0.99), E.plan_tables(10**9, 0.93, 0.99)
     assert small[0] < large[0] and small[1] < large[1]
+
+
+def test_bytes_of_vectors():
+    r = np.random.default_rng(8)
+    short, long = r.normal(size=5).astype("<f4").astype(float), r.normal(size=5)
+    assert len(E.packed(short)) == 21 and len(E.packed(long)) == 41
+    assert np.array_equal(E.unpacked([E.packed(long), E.packed(short), E.packed(long)], 5), [long, short, long])
+    assert E.packed(np.array([1e300, 0.0]))[:1] == b"d" and E.packed(np.array([1e-300, 0.0]))[:1] == b"d"
+
+
+@pytest.mark.parametrize("size", [3, 64, 200])
+def test_pairs_of_large_and_small_groups(size, monkeypatch):
+    r = np.random.default_rng(size)
+    x = E._unit(r.normal(size=(2 * size, 4)))
+    group = np.repeat([1, 2], size)
+    side = np.concatenate([np.full(size, 2), r.integers(0, 2, size)])
+    want = {(i, k) for i in range(2 * size) for k in range(i + 1, 2 * size)
+            if group[i] == group[k] and (side[i] == 2 or side[i] != side[k]) and x[i] @ x[k] >= 0.9}
+    for least in (2, 10**6):
+        monkeypatch.setattr(E, "MATRIX", least)
+        found = [tuple(sorted(e)) for p, q in E._near(x, group, side, 0.9) for e in zip(p.tolist(), q.tolist())]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_a_hot_bucket_of_several_blocks_and_a_hot_class(spark, monkeypatch):
+    from pagewright.llm import common
+
+    monkeypatch.setattr(E, "BLOCK", 16)
+    monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "MOST_HOT", 5)
+    r = np.random.default_rng(9)
+    base = r.normal(size=8)
+    rows = [(i, (base + r.normal(size=8) * 0.2).astype("<f4").tolist(), 0) for i in range(120)]
+    rows += [(1000 + i, base.tolist(), 0) for i in range(60)] + [(2000 + i, r.normal(size=8).tolist(), 0) for i in range(40)]
+    plain = [(k, v, lab) for k, (_, v, lab) in enumerate(rows)]
+    df = spark.createDataFrame([(k, v, lab) for k, v, lab in plain], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in E.near_duplicates(df, recall=0.99999).collect()}
+    assert found == brute(plain)

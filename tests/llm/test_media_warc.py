@@ -150,3 +150,116 @@ def test_archive_files(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"xx" + b"".join(blob(4, False)))
     rows = W.read_archive_files(spark, str(tmp_path)).collect()
     assert sum(r.gap_reason is None for r in rows) == 9 and sum(r.gap_reason is not None for r in rows) == 1
+
+
+@pytest.mark.parametrize("hurt", range(6))
+def test_a_damaged_record_inside_a_member_of_several(hurt):
+    records = blob(6, False)
+    broken = [bytearray(r) for r in records]
+    broken[hurt][-10 if hurt else 3] ^= 1
+    before, after = W.member(records[1]), W.member(records[2])
+    data = before + W.member(b"".join(map(bytes, broken))) + after
+    found = W.salvage(data)
+    assert [x.page_id for x in found.records] == [1, *(i for i in range(6) if i != hurt), 2]
+    assert len(found.gaps) == 1 and found.gaps[0][:2] == (len(before), len(data) - len(after))
+    assert sum(x.length for x in found.records) + sum(b - a for a, b, _ in found.gaps) == len(data)
+
+
+def test_a_cut_member_of_several_gives_the_records_before_the_cut():
+    r = random.Random(4)
+    records = []
+    for i in range(6):
+        p = r.randbytes(5000)
+        records.append(W.make_record(i, "http://x/", p, hashlib.sha256(p).hexdigest()))
+    whole, last = W.member(b"".join(records)), W.member(records[3])
+    for data, ids in ((whole[: len(whole) // 2] + last, [0, 1, 3]), (whole[: len(whole) * 9 // 10], [0, 1, 2, 3, 4]), (whole[:-4] + b"xxxx" + last, [*range(6), 3])):
+        found = W.salvage(data)
+        assert [x.page_id for x in found.records][: len(ids) - 1] == ids[:-1] and found.records[-1].page_id == ids[-1]
+        assert sum(x.length for x in found.records) + sum(b - a for a, b, _ in found.gaps) == len(data)
+
+
+def test_files_that_are_too_large_become_gaps(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(blob(5, True)))
+    (tmp_path / "b.warc").write_bytes(b"".join(blob(40, False)))
+    monkeypatch.setattr(W, "LARGEST_FILE", 5000)
+    rows = W.read_archive_files(spark, str(tmp_path), with_payload=True).collect()
+    assert sum(r.gap_reason is None for r in rows) == 5
+    assert [r.gap_reason for r in rows if r.archive.endswith("b.warc")] == ["larger than one task reads"]
+
+
+def test_a_payload_that_a_third_of_all_pages_share(spark, monkeypatch):
+    from pagewright.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    monkeypatch.setattr(common, "MOST_HOT", 3)
+    rows = [(i, "u", PAYLOAD.decode() if i % 3 == 0 else f"page {i % 7} " * 30) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: (r.record_type, r.refers_to) for r in W.read_archives(W.write_archives(df)).collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert found == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h in rows}
+
+
+def bits(text):
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def crc_of_bits(text):
+    crc = 0xFFFF
+    for b in text:
+        top = (crc >> 15) ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def layered(layer, word, fields):
+    """A protected frame of layer I or II whose first bits after the checksum are ``fields``."""
+    head = M.read_header(word)
+    assert head.layer == layer and head.protected
+    crc = crc_of_bits("".join(f"{b:08b}" for b in word[2:]) + fields)
+    return (word + crc.to_bytes(2, "big") + bits(fields)).ljust(head.length, b"\0")
+
+
+#: Widths of the bit allocation of the subbands, for the two headers of layer II below.
+WIDE = [4] * 11 + [3] * 12 + [2] * 7
+LOW = [4] * 4 + [3] * 7 + [2] * 19
+
+
+@pytest.mark.parametrize(
+    "layer, word, widths, channels, bound",
+    [
+        (1, "fffe80c0", [4] * 32, 1, 32),  # mono
+        (1, "fffe8000", [4] * 32, 2, 32),  # stereo
+        (1, "fffe8050", [4] * 32, 2, 8),  # joint from subband 8 on
+        (2, "fffca0c0", WIDE, 1, 30),
+        (2, "fffcc000", WIDE, 2, 30),
+        (2, "fffcc060", WIDE, 2, 12),
+        (2, "fff480c0", LOW, 1, 30),  # version 2
+    ],
+)
+def test_checksums_of_layers_one_and_two(layer, word, widths, channels, bound):
+    r = random.Random(f"{layer}{word}")
+    allocation, chosen = "", ""
+    for band, n in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            value = r.choice([0, r.randrange(1 << n)])
+            allocation += f"{value:0{n}b}"
+            shared = 1 if band < bound else channels
+            chosen += "".join(f"{r.randrange(4):02b}" for _ in range(shared)) if value else ""
+    fields = allocation + (chosen if layer == 2 else "")
+    frame = layered(layer, bytes.fromhex(word), fields)
+    found = M.decode(frame * 3)
+    assert len(found.offsets) == 3 and found.bad_checksums == 0
+    for at in {0, len(fields) // 2, len(fields) - 1}:
+        hurt = bytearray(frame)
+        hurt[6 + at // 8] ^= 128 >> at % 8
+        assert M.decode(frame + bytes(hurt) + frame).bad_checksums == 1
+
+
+def test_durations_over_changing_rates():
+    a, b = bytes.fromhex("fffb9064"), bytes.fromhex("fffb9464")  # 44.1 and 48 kHz
+    one, two = (h.ljust(M.read_header(h).length, b"\0") for h in (a, b))
+    found = M.decode(one * 5 + two * 7)
+    assert found.rates == {44100: 5 * 1152, 48000: 7 * 1152}
+    assert found.duration_us == (5 * 1152 * 1_000_000 * 48000 + 7 * 1152 * 1_000_000 * 44100) // (44100 * 48000)

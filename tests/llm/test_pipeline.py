@@ -42,6 +42,22 @@ def test_stages_keep_the_columns(spark, odd, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null texts and texts without a letter go; of copies the smallest id stays; repeated rows and rows without an id stay."""
+    text = "the same words of one document that has quite a few of them"
+    rows = [(7, text, "a"), (3, text.upper(), "b"), (3, text.upper(), "b"), (None, "a text that has no id at all", "c"), (9, None, "d"), (8, "", "e"), (6, "123 !", "f")]
+    rows += [(5, "one other text stands alone in here " * 2000, "g"), (4, "ກຂຄງຈ" * 8 + " and words around the run", "h")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, piece string, lang string").repartition(3)
+    language, toxicity_, near = (f for _, f in corpus_pipeline.STAGES[:3])
+    named = language(spark, docs, sf_dir)
+    assert sorted(r.piece for r in named.collect()) == ["a", "b", "b", "c", "g", "h"]
+    assert sorted(r.piece for r in toxicity_(spark, named, sf_dir).collect()) == ["a", "b", "b", "c", "g", "h"]
+    left = near(spark, named, sf_dir)
+    assert left.columns == docs.columns and sorted(r.piece for r in left.collect()) == ["b", "b", "c", "g", "h"]
+    packed = corpus_pipeline.STAGES[3][1](spark, left, sf_dir).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == ["3", "4", "5", "None"] and sum(r.doc_id == 3 for r in packed) == 2
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("1 = 0")
     for _, stage in corpus_pipeline.STAGES:

@@ -90,3 +90,30 @@ def test_longest_rule_of_the_contract(spark):
     assert len(found) == len(rows)
     for r in found:
         assert r.rule == r.want and (r.kind is None or r.verdict == r.kind)
+
+
+def scores(spark, weights, urls):
+    table = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, i int")
+    parts = table.select("i", U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
+    rows = U.with_buckets(parts, "i").select("i", U.score_of(F.col("buckets"), weights).alias("s")).collect()
+    return [r.s for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_held_out_hosts(spark):
+    """Four fits, each without a quarter of the hosts, judged on that quarter."""
+    table = sorted(U.labelled_urls(), key=lambda r: r[0].split("/")[2])
+    assert len({u.split("/")[2] for u, _ in table}) == len(table) and 150 <= len(table) <= 200
+    right = 0
+    for k in range(4):
+        weights = U.fit(spark, [r for i, r in enumerate(table) if i % 4 != k])
+        held = [r for i, r in enumerate(table) if i % 4 == k]
+        right += sum((s > 0.5) == bool(y) for s, (_, y) in zip(scores(spark, weights, [u for u, _ in held]), held))
+    print("held out:", right, "of", len(table))
+    assert right >= 0.85 * len(table)
+
+
+def test_unseen_urls(spark):
+    clean = ["https://www.glaciers.edu/fieldwork/2017", "https://blog.violinmaker.net/varnish", "https://council.smalltown.gov/minutes"]
+    spam = ["http://cheap-pills-shop.biz/order", "https://vip-casino-slots.bet/bonus", "http://xxx-cams.club/free"]
+    found = scores(spark, U.fit(spark), clean + spam)
+    assert [s > 0.5 for s in found] == [False] * 3 + [True] * 3
