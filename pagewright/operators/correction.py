@@ -253,8 +253,7 @@ def legacy_correction(blocks: DataFrame, dictionaries: dict[str, DataFrame], key
         if lang in spell.WORD_BY_WORD:
             done = spell.correct_words(own, words, keys, s)
         else:
-            listed = [(r["word"], r["count"]) for r in words.select("word", "count").collect()]
-            done = spell.correct_runs(own, listed, keys, s)
+            done = spell.correct_runs(own, spell.word_list(words), keys, s)
         out = out.unionByName(done.select(*blocks.columns, "corrected_text"))
     return (
         out.withColumn("original_text", F.col("text"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Marks around hits, bounds of a snippet and of a result page.
@@ -58,21 +59,62 @@ def snippet(text: Column, words: list[str]) -> Column:
     return F.regexp_replace(F.array_join(F.slice(parts, start, MOST_WORDS), " "), whole, f"{START}$1{STOP}")
 
 
-def search(pages: DataFrame, jobs: DataFrame, documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
+#: Columns that name a page.
+PAGE_KEY = ["job_id", "page_number"]
+#: Folders of a stored index; a query reads those of its words.
+PARTS = 64
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(PARTS)).cast("int")
+
+
+def write_index(pages: DataFrame, path: str) -> None:
+    """The inverted index of pages with ``terms``: ``term, job_id, page_number, n, length``, by part of the term."""
+    rows = pages.select(*PAGE_KEY, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    counted = rows.groupBy("term", *PAGE_KEY).agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
+    # A part has many files where a frequent word fills it, so rows are dealt by page as well.
+    dealt = counted.withColumn("part", _part(F.col("term"))).repartition("part", F.pmod(F.xxhash64(*PAGE_KEY), F.lit(8)))
+    dealt.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index."""
+    return spark.read.parquet(path)
+
+
+def _from_index(index: DataFrame, words: list[str]) -> DataFrame:
+    """``job_id, page_number, rank`` of the pages that have all words, from the parts of the index that hold them."""
+    parts = sorted({zlib.crc32(w.encode()) % PARTS for w in words})
+    hit = index.filter(F.col("part").isin(parts) & F.col("term").isin(words))
+    page = hit.groupBy(*PAGE_KEY).agg(F.count(F.lit(1)).alias("_found"), F.sum("n").alias("_hits"), F.first("length").alias("_length"))
+    return page.filter(F.col("_found") == len(words)).select(*PAGE_KEY, rank(F.col("_hits"), F.col("_length")).alias("rank"))
+
+
+def search(
+    pages: DataFrame, jobs: DataFrame, documents: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None
+) -> DataFrame:
     """The best pages for a query: ``document_id, filename, job_id, page_number, snippet, rank``.
 
-    All words must occur.  Joins follow the match, and snippets are made after the limit.  An empty query
-    finds nothing; ties go by document, job and page.
+    All words must occur.  With an ``index`` the match and the rank come from it, and texts are read for the
+    snippets alone; without one all pages with their ``terms`` are scanned.  Joins follow the match, and snippets
+    are made after the limit.  An empty query finds nothing; ties go by document, job and page.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie between 1 and 100")
     words = query_terms(query)
-    wanted = F.array(*(F.lit(w) for w in words)).cast("array<string>")
-    hits = F.size(F.filter("terms", lambda t: F.array_contains(wanted, t)))
-    matched = pages.filter(F.lit(bool(words)) & (F.size(F.array_except(wanted, F.col("terms"))) == 0))
-    scored = matched.withColumn("rank", rank(hits, F.size("terms")))
+    if index is not None:
+        scored = _from_index(index, words) if words else _from_index(index, [""]).limit(0)
+    else:
+        wanted = F.array(*(F.lit(w) for w in words)).cast("array<string>")
+        hits = F.size(F.filter("terms", lambda t: F.array_contains(wanted, t)))
+        matched = pages.filter(F.lit(bool(words)) & (F.size(F.array_except(wanted, F.col("terms"))) == 0))
+        scored = matched.withColumn("rank", rank(hits, F.size("terms")))
     joined = scored.join(jobs.select("job_id", "document_id"), "job_id").join(documents.select("document_id", "filename"), "document_id")
-    top = joined.orderBy(F.col("rank").desc(), "document_id", "job_id", "page_number").limit(limit)
+    order = [F.col("rank").desc(), F.col("document_id"), F.col("job_id"), F.col("page_number")]
+    top = joined.orderBy(*order).limit(limit)
+    if index is not None:
+        top = pages.select(*PAGE_KEY, "search_text").join(F.broadcast(top), PAGE_KEY).orderBy(*order)
     return top.select(
         "document_id", "filename", "job_id", "page_number", snippet(F.col("search_text"), words).alias("snippet"), "rank"
     )

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as X
+from ..scratch import broadcast_if_small, kept
 from .layout import runs
 
 # Greatest edit distance, indexed prefix, languages that are corrected word by word.
 DISTANCE, PREFIX = 2, 7
+#: Most words of a dictionary that every worker holds in memory.
+MOST_WORDS = 2_000_000
 WORD_BY_WORD = ("gu", "mr")
 
 
@@ -66,7 +69,8 @@ def eligible_tokens(blocks: DataFrame, keys: list[str], s: Settings = DEFAULT) -
 
 def hit_rate(tokens: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
     """Share of eligible tokens that the dictionary has; 1 without eligible tokens."""
-    words = dictionary.select(F.col("word").alias("token"), F.lit(1).alias("known")).distinct()
+    # Frequent words are hot keys, so the dictionary goes to the tokens as long as it is small.
+    words = broadcast_if_small(dictionary.select(F.col("word").alias("token"), F.lit(1).alias("known")).distinct())
     joined = tokens.join(words, "token", "left")
     n = F.sum(F.when(F.col("eligible"), 1).otherwise(0))
     known = F.sum(F.when(F.col("eligible") & F.col("known").isNotNull(), 1).otherwise(0))
@@ -82,8 +86,9 @@ def correct_words(blocks: DataFrame, dictionary: DataFrame, keys: list[str], s:
     its white space.
     """
     tokens = eligible_tokens(blocks, keys, s)
-    fixes = suggestions(tokens.filter("eligible").select(F.col("token").alias("word")), dictionary)
-    joined = tokens.join(fixes.select(F.col("word").alias("token"), "suggestion", "distance"), "token", "left")
+    fixes = kept(suggestions(tokens.filter("eligible").select(F.col("token").alias("word")), dictionary), "suggestions")
+    fixes = fixes.select(F.col("word").alias("token"), "suggestion", "distance")
+    joined = tokens.join(broadcast_if_small(fixes.filter("suggestion <> token")), "token", "left")
     changed = F.col("eligible") & F.col("suggestion").isNotNull() & (F.col("suggestion") != F.col("token"))
     item = F.struct("pos", F.when(changed, F.col("suggestion")).otherwise(F.col("token")).alias("t"))
     log = F.struct("pos", F.col("token").alias("original"), F.col("suggestion").alias("corrected"), "distance")
@@ -100,6 +105,12 @@ def correct_words(blocks: DataFrame, dictionary: DataFrame, keys: list[str], s:
     )
 
 
+def word_list(dictionary: DataFrame) -> list[tuple[str, int]]:
+    """The entries of a frequency dictionary, of which there may be MOST_WORDS."""
+    rows = dictionary.groupBy("word").agg(F.sum("count").alias("count")).limit(MOST_WORDS + 1).collect()
+    return [(r["word"], r["count"]) for r in rows]
+
+
 class Compound:
     """Compound lookup: replaces words, splits one into two and joins two into one where that is likelier.
 
@@ -170,7 +181,10 @@ def correct_runs(blocks: DataFrame, dictionary: list[tuple[str, int]], keys: lis
     worker once.
     """
     spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(list(dictionary))
+    dictionary = list(dictionary)
+    if len(dictionary) > MOST_WORDS:
+        raise ValueError(f"a dictionary of more than {MOST_WORDS} words does not belong into every worker")
+    shared = spark.sparkContext.broadcast(dictionary)
     state: dict[str, Compound] = {}
 
     @F.pandas_udf("struct<text:string,log:array<struct<original:string,corrected:string,distance:int>>>")
@@ -207,7 +221,7 @@ def correct_runs(blocks: DataFrame, dictionary: list[tuple[str, int]], keys: lis
 
 def devanagari_votes(blocks: DataFrame, dictionaries: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Hit rate of each block in each candidate dictionary, and the best language (the first on ties)."""
-    every = eligible_tokens(blocks, keys, Settings(spell_confidence=1.0))
+    every = kept(eligible_tokens(blocks, keys, Settings(spell_confidence=1.0)), "tokens")
     out = blocks.select(*keys)
     for lang, words in dictionaries.items():
         out = out.join(hit_rate(every, words, keys).select(*keys, F.col("hit_rate").alias(lang)), keys, "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from .functions import geometry as G
 from .functions import text as X
 from .operators import assemble, blocks, catalog, correction, export, language, layout, metrics, quality, routing, search, spatial, spell, tables
 from .plans import lineblocks as L
-from .scratch import kept
+from .scratch import kept, shared_dir
 from .session import prepare
 from .sources import files, seams
 from .streaming import state
@@ -198,7 +199,7 @@ def spell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spell_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A frequency list of the few distinct words of part names; a real one is a file of bounded length.
-    words = [(r["word"], r["count"]) for r in _dictionary(spark, sf_dir).groupBy("word").agg(F.sum("count").alias("count")).collect()]
+    words = spell.word_list(_dictionary(spark, sf_dir))
     out = spell.correct_runs(_noisy_names(spark, sf_dir), words, ["p_partkey"])
     return out.select("p_partkey", "corrected_text", F.size("corrections").alias("n_corrections"))
 
@@ -1012,6 +1013,16 @@ def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(*_searchable(spark, sf_dir), SEARCHED, 100).withColumn("rank", F.round("rank", 6))
 
 
+@query(ORACLES["fts_search"])
+def fts_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a stored inverted index."""
+    pages, jobs, docs = _searchable(spark, sf_dir)
+    path = f"{shared_dir(spark)}/pagewright/index-{uuid.uuid4().hex[:12]}"
+    search.write_index(pages, path)
+    out = search.search(pages.drop("terms"), jobs, docs, SEARCHED, 20, search.read_index(spark, path))
+    return out.select("document_id", "filename", F.round("rank", 6).alias("rank"))
+
+
 @query(
     f"""WITH {_TERMS}, u AS (SELECT doc_id, unnest(w) AS x FROM t)
     SELECT doc_id AS job_id, count(*) AS hits FROM u WHERE x IN ('the', 'with', 'that') GROUP BY doc_id HAVING count(DISTINCT x) = 3"""

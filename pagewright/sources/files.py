@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +29,34 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def count_pages(files: DataFrame) -> DataFrame:
-    """Page count of PDF content: the number of page objects, 1 where none can be seen.
+PAGE_OBJECT = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
+STREAM = re.compile(rb"(?s)<<((?:[^>]|>(?!>))*?/ObjStm(?:[^>]|>(?!>))*?)>>\s*stream\r?\n")
+
+
+def page_objects(content: bytes, most: int = 1 << 28) -> int:
+    """Page objects of a PDF, those inside compressed object streams too; ``most`` bounds what a stream inflates to."""
+    n = len(PAGE_OBJECT.findall(content))
+    for m in STREAM.finditer(content):
+        stop = content.find(b"endstream", m.end())
+        body = content[m.end() : stop if stop >= 0 else len(content)]
+        if b"/FlateDecode" in m[1]:
+            try:
+                body = zlib.decompressobj().decompress(body, most)
+            except zlib.error:
+                continue
+            n += len(PAGE_OBJECT.findall(body))
+    return n
 
-    Files whose objects are compressed need a PDF library behind the same column.
-    """
-    body = F.decode("content", "ISO-8859-1")
-    n = F.regexp_count(body, F.lit("/Type\\s*/Page(?![a-zA-Z])"))
-    return files.withColumn("page_count", F.greatest(n, F.lit(1)))
+
+@F.pandas_udf("long")
+def _page_objects(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: page_objects(bytes(c)) if c is not None else 0).astype("int64")
+
+
+def count_pages(files: DataFrame) -> DataFrame:
+    """Page count of PDF content: the number of page objects, plain or in compressed object streams, 1 where none can be
+    seen (encrypted or damaged files)."""
+    return files.withColumn("page_count", F.greatest(_page_objects("content"), F.lit(1)))
 
 
 def fan_out_pages(documents: DataFrame) -> DataFrame:

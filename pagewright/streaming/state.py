@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,28 +41,35 @@ def breaker_stream(events: DataFrame, cooldown_seconds: int = 1800) -> DataFrame
 
 
 def breaker_batch(events: DataFrame, key: str, at: str, order: str, failed, cooldown_seconds: int = 1800) -> DataFrame:
-    """The same gate over a finished table, natively: a fold over each key's events in order of time.
+    """The same gate over a finished table.  Adds ``skipped``.
 
-    Adds ``skipped``.  Only failures can change the state, so only they are folded; every event then looks up
-    the last failure that opened the breaker before it.
+    Only failures change the state.  A failure that comes the cooldown or more after the one before it finds
+    the breaker closed, so the failures of a key fall into spells that do not depend on each other; each spell is a
+    sorted stream through one task, which keeps one time.  Every event then looks up the last failure that opened
+    the breaker before it.
     """
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    cooldown = F.lit(cooldown_seconds * 1_000_000).cast("long")
-    marked = events.withColumn("_t", seconds).withColumn("_failed", failed)
-    failures = marked.filter("_failed").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_t", order))).alias("f")
-    )
-    start = F.array().cast(f"array<struct<_t:bigint,{order}:bigint>>")
-    opened = F.aggregate(
-        "f",
-        start,
-        lambda a, e: F.when(
-            (F.size(a) == 0) | (e["_t"] >= F.coalesce(F.try_element_at(a, F.lit(-1))["_t"], F.lit(0)) + cooldown),
-            F.concat(a, F.array(e)),
-        ).otherwise(a),
-    )
-    trips = failures.select(key, F.explode(opened).alias("o")).select(key, F.col(f"o.{order}").alias(order), F.lit(True).alias("_trip"))
-    w = Window.partitionBy(key).orderBy("_t", order).rowsBetween(Window.unboundedPreceding, -1)
+    cooldown = cooldown_seconds * 1_000_000
+    marked = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_failed", failed)
+    in_time = Window.partitionBy(key).orderBy("_t", order)
+    before = F.lag("_t").over(in_time)
+    slim = marked.filter("_failed").select(key, order, "_t").withColumn("_new", F.when(F.col("_t") - before < cooldown, 0).otherwise(1))
+    spells = slim.withColumn("_spell", F.sum("_new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def open_(batches):
+        last, until = None, 0
+        for batch in batches:
+            keep = []
+            for k, spell, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (k, spell) != last:
+                    last, until = (k, spell), t
+                keep.append(t >= until)
+                if t >= until:
+                    until = t + cooldown
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    stream = spells.select(key, "_spell", "_t", order).repartition(key, "_spell").sortWithinPartitions(key, "_spell", "_t", order)
+    trips = stream.mapInArrow(open_, stream.schema).select(key, order, F.lit(True).alias("_trip"))
+    w = in_time.rowsBetween(Window.unboundedPreceding, -1)
     joined = marked.join(trips, [key, order], "left")
     last = F.max(F.when(F.col("_trip"), F.col("_t"))).over(w)
     return joined.withColumn("skipped", F.coalesce(F.col("_t") < last + cooldown, F.lit(False))).drop("_t", "_failed", "_trip")
