@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.catalog import base_name
 
@@ -48,7 +49,7 @@ def page_objects(content: bytes, most: int = 1 << 28) -> int:
     return n
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _page_objects(content: pd.Series) -> pd.Series:
     return content.map(lambda c: page_objects(bytes(c)) if c is not None else 0).astype("int64")
 

@@ -290,3 +290,60 @@ def test_unions_keep_pages_together(spark):
     merged = spatial.merge_engines(a, b)
     assert merged.count() == 120
     a.unpersist(), b.unpersist()
+
+
+def test_blank_pages_have_scores(spark):
+    pages = sized(spark.createDataFrame([("d", 1), ("d", 2)], "document_id string, page_number int"))
+    rows = frame(spark, [block(0, (0, 0, 50, 50), "abc", confidence=0.5)])
+    found = {r.page_number: r for r in quality.page_quality(rows, pages=pages).collect()}
+    assert found[2].quality_score == pytest.approx(0.85) and found[2].coverage == 0.0
+    assert found[1].coverage == 0.25
+    mean = quality.document_quality(quality.page_quality(rows, pages=pages)).first()
+    assert mean.pages == 2 and mean.quality_score == pytest.approx((found[1].quality_score + 0.85) / 2)
+    signals = routing.route(routing.page_signals(rows, pages=pages)).orderBy("page_number").collect()
+    assert [(r.avg_confidence, r.route) for r in signals] == [(0.5, "retry"), (0.0, "retry")]
+
+
+def test_pages_that_recognisers_fail_on(spark):
+    pages = sized(spark.createDataFrame([("d", i) for i in range(1, 6)], "document_id string, page_number int"))
+    primary = frame(spark, [block(0, (0, 0, 90, 90), "poor text", confidence=0.4, page=i) for i in (1, 2, 3, 4)])
+
+    def variant(asked):
+        good = asked.filter("page_number = 1").join(primary, PAGE).withColumn("confidence", F.lit(0.97))
+        return good.unionByName(asked.filter("page_number <> 1").withColumn("error", F.lit("broken")), allowMissingColumns=True)
+
+    def raises(asked):
+        raise RuntimeError("no model")
+
+    def second(asked):
+        some = asked.filter("page_number IN (2, 5)").select(*PAGE)
+        found = frame(spark, [block(0, (0, 0, 90, 90), "read", confidence=0.9, page=i) for i in (2, 5)]).join(some, PAGE, "left_semi")
+        return found.unionByName(asked.filter("page_number = 3").withColumn("error", F.lit("broken")), allowMissingColumns=True)
+
+    done, attempts = routing.run_pages(primary, [("enhanced", variant), ("threshold", raises)], second, pages=pages)
+    got = sorted((r.page_number, r.text, r.engine_used, r.ocr_attempt) for r in done.collect())
+    assert got == [
+        (1, "poor text", "primary", "enhanced"),  # the variant read it
+        (2, "read", "fallback", "fallback"),
+        (3, "poor text", "primary", "original"),  # the fallback failed
+        (4, "poor text", "primary", "fallback"),  # the fallback found nothing
+        (5, "read", "fallback", "fallback"),  # a blank page
+    ]
+    assert {r.page_number: r.ocr_attempt for r in attempts.collect()} == {1: "enhanced", 2: "fallback", 3: "original", 4: "fallback", 5: "fallback"}
+    done, attempts = routing.run_pages(primary, [], raises, pages=pages)
+    assert done.count() == 4 and {r.ocr_attempt for r in attempts.collect()} == {"original"}
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_pages_are_dealt_once(spark):
+    """What belongs to a page comes from one exchange by page."""
+    rows = sized(frame(spark, [block(i, (0, 20 * i, 50, 20 * i + 9), page=i % 3) for i in range(9)]))
+    assert exchanges(quality.page_quality(rows)) == 1
+    assert exchanges(routing.page_signals(rows)) == 1
+    assert exchanges(layout.reading_order(rows)) == 1
+    assert exchanges(spatial.suppress_inside(rows)) == 1
+    assert exchanges(layout.page_order(rows)) == 1

@@ -290,7 +290,9 @@ def test_tree(spark):
     kinds = {b["type"]: b for b in doc["pages"][0]["blocks"]}
     assert "text" not in kinds["table"] and "language" not in kinds["figure"] and "table" not in kinds["heading"]
     assert [b["block_id"] for b in doc["pages"][0]["blocks"]][:2] == ["p1_b1", "p1_b2"]
-    assert doc["pages"][2]["blocks"] == []
+    assert doc["pages"][2]["blocks"] == [] and doc["pages"][2]["quality_score"] == 0.85
+    scores = [p["quality_score"] for p in doc["pages"]]
+    assert tree.first().avg_quality_score == pytest.approx(sum(scores) / 3, abs=1e-4)
 
 
 def test_quality_uses_sizes(spark):
