@@ -24,11 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: what made it runs once, and a lost executor takes nothing with it."""
+#: Tables that this process has written and not deleted.
+WRITTEN: list[str] = []
+
+
+def write_table(df: DataFrame, name: str, codec: str = "zstd") -> str:
+    """Write ``df`` as Parquet into the shared folder and return its path.
+
+    A written table cuts the lineage: later reads survive the loss of any executor.
+    """
     path = f"{shared_dir(df.sparkSession)}/pagewright/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    WRITTEN.append(path)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table made by :func:`write_table`, once nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table written so far, once no result that reads them is needed any more."""
+    for path in list(WRITTEN):
+        drop_table(spark, path)
+
+
+def kept(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` as a written table with the same schema: what made it runs once."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, codec))
 
 
 def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:

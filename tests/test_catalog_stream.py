@@ -194,7 +194,7 @@ def test_pages_in_object_streams():
     from pagewright.sources.files import page_objects
 
     body = zlib.compress(b"1 0 2 40 << /Type /Page /Parent 3 0 R >> << /Type/Page >> << /Type /Pages /Count 3 >>")
-    pdf = b"%PDF-1.5\n4 0 obj << /Type /Page >> endobj\n5 0 obj << /Type /ObjStm /N 3 /Filter /FlateDecode /Length %d >> stream\n" % len(body)
+    pdf = b"%%PDF-1.5\n4 0 obj << /Type /Page >> endobj\n5 0 obj << /Type /ObjStm /N 3 /Filter /FlateDecode /Length %d >> stream\n" % len(body)
     assert page_objects(pdf + body + b"\nendstream endobj") == 3
     assert page_objects(pdf + b"no deflate data\nendstream endobj") == 1
     assert page_objects(b"") == 0
