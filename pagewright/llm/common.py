@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import WRITTEN, drop_all, drop_table, kept, shared_dir, write_table  # noqa: F401 - part of this module's interface
 from ..session import prepare as prepare_workers
 
 # The tokenizer library's own thread pool must not compete with Spark's task slots.
@@ -33,54 +30,8 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a folder of our own is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-#: Tables that this process has written and not deleted.
-WRITTEN: list[str] = []
-
-
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> str:
-    """Write ``df`` as Parquet into the shared folder and return its path.
-
-    A written table cuts the lineage: later reads survive the loss of any executor.
-    """
-    path = f"{shared_dir(df.sparkSession)}/pagewright/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", codec).parquet(path)
-    WRITTEN.append(path)
-    return path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table made by :func:`write_table`, once nothing reads it any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in WRITTEN:
-        WRITTEN.remove(path)
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Delete every table written so far, once no result that reads them is needed any more."""
-    for path in list(WRITTEN):
-        drop_table(spark, path)
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again with the same schema."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, codec))
+#: ``df`` written to the shared folder and read again with the same schema.
+stored = kept
 
 
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
