@@ -34,12 +34,22 @@ def prepare(spark: SparkSession) -> None:
 stored = kept
 
 
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+#: Rows of a few narrow columns that may be broadcast.
+SMALL = 200_000
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` (a stored table of a few narrow columns) marked for broadcast if it has at most ``most`` rows.
 
     Beyond that the join shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a stored table has at most ``most`` rows, SMALL by default."""
+    most = SMALL if most is None else most
+    return df.limit(most + 1).count() <= most
 
 
 #: A key is hot from HOT rows on if it also has more than one of MOST_HOT parts of all rows: so many at most can be hot.
@@ -49,13 +59,16 @@ HOT, MOST_HOT = 500, 50_000
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``left`` joined (left outer) to ``right``, a stored table with one row for each key and its number of ``members``.
 
-    Hot keys are broadcast, being at most MOST_HOT; the rest is broadcast if small and shuffles if not, so no
-    task gathers a hot key.  ``rows`` is the number of rows of ``left`` or more.
+    A small ``right`` is broadcast.  Of a larger one the hot keys are broadcast, being at most MOST_HOT, and the rest
+    shuffles, so no task gathers a hot key.  ``rows`` is the number of rows of ``left`` that have a key in ``right``
+    or more.
     """
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, "left")
     hot = F.col("members") > max(HOT, rows // MOST_HOT)
     few = right.filter(hot).withColumn("_hot", F.lit(True))
     first = left.join(F.broadcast(few), keys, "left")
-    rest = first.filter("_hot IS NULL").select(*left.columns).join(broadcast_if_small(right.filter(~hot)), keys, "left")
+    rest = first.filter("_hot IS NULL").select(*left.columns).join(right.filter(~hot), keys, "left")
     return first.filter("_hot").drop("_hot").unionByName(rest)
 
 

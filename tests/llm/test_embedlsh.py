@@ -117,6 +117,7 @@ def test_a_hot_bucket_of_several_blocks_and_a_hot_class(spark, monkeypatch):
     from pagewright.llm import common
 
     monkeypatch.setattr(E, "BLOCK", 16)
+    monkeypatch.setattr(common, "SMALL", 0)
     monkeypatch.setattr(common, "HOT", 10)
     monkeypatch.setattr(common, "MOST_HOT", 5)
     r = np.random.default_rng(9)

@@ -266,6 +266,7 @@ def test_cells_in_memory(seed, monkeypatch):
 def test_one_hot_class_and_many_empty_texts(spark, monkeypatch):
     from pagewright.llm import common
 
+    monkeypatch.setattr(common, "SMALL", 0)
     monkeypatch.setattr(common, "HOT", 20)
     monkeypatch.setattr(common, "MOST_HOT", 10)
     texts = ["the same text in a third of all rows of the table"] * 300 + [""] * 200 + [None] * 100

@@ -190,6 +190,7 @@ def test_files_that_are_too_large_become_gaps(spark, tmp_path, monkeypatch):
 def test_a_payload_that_a_third_of_all_pages_share(spark, monkeypatch):
     from pagewright.llm import common
 
+    monkeypatch.setattr(common, "SMALL", 0)
     monkeypatch.setattr(common, "HOT", 5)
     monkeypatch.setattr(common, "MOST_HOT", 3)
     rows = [(i, "u", PAYLOAD.decode() if i % 3 == 0 else f"page {i % 7} " * 30) for i in range(120)]
