@@ -38,7 +38,9 @@ def cell_chance(distance: float, width: float = WIDTH) -> float:
 def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(projections in a table, tables) for n vectors that may meet each other."""
     near, far = cell_chance(math.sqrt(2 - 2 * threshold)), cell_chance(math.sqrt(2))
-    projections = max(2, math.ceil(math.log(max(n, 2)) / math.log(1 / far)))
+    # So many that a vector meets one unrelated vector in a table, and two more: a vector that meets nobody is not
+    # sent anywhere, which saves more than the tables cost that make up for it.
+    projections = max(2, math.ceil(math.log(max(n, 2)) / math.log(1 / far))) + 2
     return projections, math.ceil(math.log(1 - recall) / math.log(1 - near**projections))
 
 
@@ -136,22 +138,29 @@ def _with_keys(reps: DataFrame, projections: int, tables: int, seed: int) -> Dat
 
 
 def _buckets(keyed: DataFrame, tables: int) -> DataFrame:
-    """``bucket, slot, rep`` of every vector in every table; a bucket is one label, dimension, table and key."""
+    """``bucket, slot, rep`` of every vector in every table.
+
+    A bucket is a 64-bit hash of label, dimension, table and key.  Where two of these share it, they are told apart
+    when vectors are compared.
+    """
 
     def work(batches):
         for batch in batches:
             n = batch.num_rows
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(n, tables)
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(n, tables).astype(np.int64)
+            label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            dim = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            with np.errstate(over="ignore"):
+                h = (label[:, None] ^ dim[:, None] << 40) + (keys << 20 | np.arange(tables)) * np.int64(0x1E3779B97F4A7C15)
+                h = (h ^ h >> 31) * np.int64(0x3C79AC492BA7B653)
+                h ^= h >> 27
             yield {
-                "rep": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), tables),
-                "label": np.repeat(batch.column(1).to_numpy(zero_copy_only=False), tables),
-                "dim": np.repeat(batch.column(2).to_numpy(zero_copy_only=False), tables),
+                "bucket": h.reshape(-1),
                 "slot": np.tile(np.arange(tables, dtype=np.int32), n),
-                "key": keys.reshape(-1).astype(np.int64),
+                "rep": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), tables),
             }
 
-    schema = "rep long, label long, dim int, slot int, key long"
-    return whole_partition(keyed.select("rep", "label", "dim", "keys"), work, schema)
+    return whole_partition(keyed.select("rep", "label", "dim", "keys"), work, "bucket long, slot int, rep long")
 
 
 def _earlier(keys: list[bytes], slot: np.ndarray, tables: int) -> np.ndarray:
@@ -192,7 +201,7 @@ def _near(x: np.ndarray, group: np.ndarray, side: np.ndarray, threshold: float):
 
 
 def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
-    """Exact comparison inside ``(label, dim, slot, key, i, j)``, which the rows come sorted by.
+    """Exact comparison inside ``(bucket, i, j, label, dim, slot)``, which the rows come sorted by.
 
     Gives ``kind 0, a, n``: weight that vector a is linked with, and ``kind 1, a, b``: edges that span the
     linked vectors.  A pair that meets in several tables counts in the first of them alone.
@@ -239,7 +248,7 @@ def _compare(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                cols = {f: part.column(f).to_numpy(zero_copy_only=False) for f in ("label", "dim", "slot", "key", "i", "j")}
+                cols = {f: part.column(f).to_numpy(zero_copy_only=False) for f in ("label", "dim", "slot", "bucket", "i", "j")}
                 ids = np.stack([cols[f].astype(np.int64) for f in cols], axis=1)
                 new = np.ones(len(ids), bool)
                 new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
@@ -312,7 +321,7 @@ def near_duplicates(
     projections, tables = plan_tables(most, threshold, recall)
     keyed = stored(_with_keys(reps, projections, tables, seed), "vector-keys")
 
-    bucket = ["label", "dim", "slot", "key"]
+    bucket = ["bucket"]
     places = _buckets(keyed, tables)
     shared = stored(places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -326,6 +335,7 @@ def near_duplicates(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             *bucket,
+            "slot",
             "rep",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
@@ -333,10 +343,10 @@ def near_duplicates(
         )
     )
     # A pair counts in its first table, so a row needs its keys only up to its own one.
-    full = placed.join(keyed.select("rep", "weight", "raw", "keys"), "rep").withColumn("keys", F.expr("substring(keys, 1, slot * 4)"))
+    full = placed.join(keyed.select("rep", "label", "dim", "weight", "raw", "keys"), "rep").withColumn("keys", F.expr("substring(keys, 1, slot * 4)"))
     piece = [*bucket, "i", "j"]
     compared = stored(
-        _compare(full.repartition(*piece).sortWithinPartitions(*piece), tables, threshold), "vector-links"
+        _compare(full.repartition(*piece).sortWithinPartitions(*piece, "label", "dim", "slot"), tables, threshold), "vector-links"
     )
     linked = compared.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     components = connected_components(compared.filter("kind = 1").select("a", "b"))
