@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from .blocks import PAGE
-from .quality import page_sums, with_scores
+from .quality import page_sums, rounded, total, with_scores
 
 #: What a block may carry in the tree, in the order of the output.
 FIELDS = (
@@ -65,7 +65,7 @@ def pages_tree(blocks: DataFrame, pages: DataFrame, s: Settings = DEFAULT) -> Da
     known = pages.select(*PAGE, area, F.coalesce("ocr_attempt", F.lit("original")).alias("ocr_attempt"))
     scored = with_scores(known.join(nested, PAGE, "left"), s)
     low = F.coalesce(F.col("c_all") / F.col("n_blocks"), F.lit(0.0)) < s.low_page_confidence
-    return scored.select(*PAGE, "ocr_attempt", "blocks", "languages", "quality_score", "c_known", "n_known", low.alias("low"))
+    return scored.select(*PAGE, "ocr_attempt", "blocks", "languages", "quality_score", "confidences", low.alias("low"))
 
 
 def document_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -74,14 +74,18 @@ def document_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame, s:
         "page_number",
         F.coalesce("languages", F.array().cast("array<string>")).alias("language_detected"),
         "ocr_attempt",
-        F.round("quality_score", 4).alias("quality_score"),
+        rounded(F.col("quality_score"), 4).alias("quality_score"),
         F.coalesce("blocks", F.array()).alias("blocks"),
     )
+    none = F.array().cast("array<double>")
+    # Page by page and block by block, so that the last bits of the means do not depend on the order of the rows.
+    marks = F.array_sort(F.collect_list(F.struct("page_number", "quality_score", F.coalesce("confidences", none).alias("confidences"))))
+    known = F.flatten(F.transform(marks, lambda p: p.confidences))
     nested = pages_tree(blocks, pages, s).groupBy("document_id").agg(
         F.array_sort(F.collect_list(page), lambda a, b: F.when(a.page_number < b.page_number, -1).otherwise(1)).alias("pages"),
         F.count(F.lit(1)).cast("int").alias("page_count"),
-        F.avg("quality_score").alias("avg_quality_score"),
-        F.round(F.coalesce(F.sum("c_known") / F.sum("n_known"), F.lit(0.0)), 4).alias("avg_confidence"),
+        (total(F.transform(marks, lambda p: p.quality_score)) / F.size(marks)).alias("avg_quality_score"),
+        rounded(F.when(F.size(known) > 0, total(known) / F.size(known)).otherwise(0.0), 4).alias("avg_confidence"),
         F.array_sort(F.collect_list(F.when(F.col("low"), F.col("page_number")))).alias("low_confidence_pages"),
     )
     metadata = F.struct("avg_confidence", "low_confidence_pages").alias("metadata")

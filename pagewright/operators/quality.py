@@ -35,24 +35,48 @@ def corrected_needs_no_review(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("needs_review", needs)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from zero on the double ``x * 10 ** places``, as SQL engines round doubles.
+
+    Spark's own goes by the digits that a double is printed with, which gives other results near halves.
+    """
+    scale = float(10**places)
+    return F.round(x * scale) / scale
+
+
+def in_order(blocks: DataFrame, value: Column) -> Column:
+    """Aggregate: the known values of a page in the order of ``seq``, or, if blocks have none, of their size."""
+    if "seq" not in blocks.columns:
+        return F.array_sort(F.collect_list(value))
+    pairs = F.collect_list(F.when(value.isNotNull(), F.struct("seq", value.alias("value"))))
+    return F.transform(F.array_sort(pairs), lambda e: e.value)
+
+
+def total(values: Column) -> Column:
+    """Sum of an array from its first value to its last; 0 if it is empty."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def page_sums(blocks: DataFrame, ranges: dict | None = None) -> list[Column]:
     """Aggregates of a page's blocks from which its confidence, quality and languages follow.
 
-    They need one grouping by page; the languages of its texts are an array, as a page is bounded by what fits on paper.
+    They need one grouping by page; the languages of its texts and the confidences are arrays, as a page is bounded by
+    what fits on paper.  Sums of confidences go by the order of the blocks, not by that in which rows arrive, as the
+    last bit of a sum of doubles depends on it, and with it a rounded half.
     """
     is_text = F.col("type").isin(*TEXT_TYPES)
     filled = is_text & (F.coalesce(F.length("text"), F.lit(0)) > 0)
     corrected = F.coalesce(F.col("correction_applied"), F.lit(False)) if "correction_applied" in blocks.columns else F.lit(False)
     language = F.coalesce("language", F.lit("und"))
     named = F.when(~F.col("type").isin("table", "figure"), F.coalesce("language", F.lit("en")))
-    confidence = F.coalesce("confidence", F.lit(0.0))
+    confidence = F.col("confidence").cast("double")
+    known = in_order(blocks, confidence)
     return [
         F.count(F.lit(1)).alias("n_blocks"),
-        F.sum(confidence).alias("c_all"),
-        F.sum("confidence").alias("c_known"),
-        F.count("confidence").alias("n_known"),
+        known.alias("confidences"),
+        total(known).alias("c_all"),
         F.sum(F.when(is_text, 1).otherwise(0)).alias("n_text"),
-        F.sum(F.when(is_text, F.col("confidence"))).alias("c_sum"),
+        total(in_order(blocks, F.when(is_text, confidence))).alias("c_sum"),
         F.sum(F.when(filled, 1).otherwise(0)).alias("n_filled"),
         F.sum(F.when(filled & ~corrected, 1).otherwise(0)).alias("n_unchanged"),
         F.sum(F.when(filled, F.length("text")).otherwise(0)).alias("chars"),
@@ -122,7 +146,7 @@ def page_confidence(blocks: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def document_confidence(blocks: DataFrame, key: str = "document_id") -> DataFrame:
     """Mean confidence over all blocks of a document, not over its pages; 4 decimals."""
-    return blocks.groupBy(key).agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("avg_confidence"))
+    return blocks.groupBy(key).agg(rounded(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("avg_confidence"))
 
 
 def low_confidence_pages(pages: DataFrame, blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:

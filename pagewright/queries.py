@@ -715,7 +715,7 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = f"struct<quality_score:double,language_detected:array<string>,ocr_attempt:string,blocks:array<{block}>>"
     shape = f"struct<filename:string,page_count:int,pages:array<{page}>,metadata:struct<avg_confidence:double,low_confidence_pages:array<int>>>"
     # What SQL checks is read from the JSON; the mean of the scores is not part of it.
-    both = assemble.to_json(tree.withColumn("filename", F.concat_ws("|", "filename", F.round("avg_quality_score", 9).cast("string"))))
+    both = assemble.to_json(tree.withColumn("filename", F.concat_ws("|", "filename", quality.rounded(F.col("avg_quality_score"), 9).cast("string"))))
     j = both.select("document_id", F.from_json("json", shape).alias("j")).select("document_id", "j.*")
     said = F.split("filename", "\\|")
     first = F.transform(

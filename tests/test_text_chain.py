@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import queries as Q
 from pagewright.config import Settings
 from pagewright.operators import assemble, correction, export, language, layout, metrics, quality, spell, tables
 from pagewright.schema import TABLE
@@ -295,6 +297,29 @@ def test_tree(spark):
     assert tree.first().avg_quality_score == pytest.approx(sum(scores) / 3, abs=1e-4)
 
 
+def test_means_of_halves(spark, tmp_path):
+    """Sixteen lines have a mean that often ends in half of a ten thousandth; the lines' order and SQL's rounding decide."""
+    text = "\n".join(f"line {k} of the text" for k in range(16))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("document_tree", "document_confidence"):
+        want = sorted(con.execute(f"SELECT document_id, avg_confidence FROM ({Q.ORACLES[name]})").fetchall())
+        found = Q.QUERIES[name](spark, str(tmp_path)).select("document_id", "avg_confidence").collect()
+        assert sorted(map(tuple, found)) == want
+
+
+def test_sums_follow_the_blocks(spark):
+    """0.1 + 0.7 + 0.3 differs from 0.3 + 0.7 + 0.1 in the last bit: the blocks' numbers decide, however the rows come."""
+    rows = [block(k, (0, 20 * k, 50, 20 * k + 9), confidence=c) for k, c in enumerate((0.1, 0.7, 0.3, None))]
+    assert 0.1 + 0.7 + 0.3 != 0.3 + 0.7 + 0.1
+    for shown in (rows, rows[::-1]):
+        df = frame(spark, shown).coalesce(1)
+        found = df.groupBy("document_id", "page_number").agg(*quality.page_sums(df)).first()
+        assert found.c_all == found.c_sum == 0.1 + 0.7 + 0.3
+
+
 def test_quality_uses_sizes(spark):
     assert quality.document_quality(quality.page_quality(sized(exported(spark)))).first().pages == 2
 
