@@ -58,6 +58,19 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert sorted({str(r.doc_id) for r in packed}) == ["3", "4", "5", "None"] and sum(r.doc_id == 3 for r in packed) == 2
 
 
+def test_language_stage_goes_by_the_scores(spark, sf_dir):
+    """A text that is as likely in one language as in another is not identified, however many letters it has."""
+    learned = [("en", "the house of the town and the garden"), ("fr", "la maison de la ville et le jardin")]
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(learned * 20)]
+    rows += [(100, "information", None), (101, "the the la la information", None), (102, "the town of the garden", None), (103, "la ville et la maison", None), (104, "1 2 3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    scores = {r.doc_id: r.score for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert 0.5 <= scores[100] < 0.9 and 100 not in kept
+    assert kept == {i for i, score in scores.items() if score >= corpus_pipeline.IDENTIFIED}
+    assert {102, 103} <= kept and {k for k in range(40)} <= kept and 104 not in kept
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
