@@ -56,18 +56,39 @@ def pages_tree(blocks: DataFrame, pages: DataFrame, s: Settings = DEFAULT) -> Da
     """
     columns = {f"_{f}": c for f, c in projected(blocks).items()}
     text = F.coalesce("corrected_text", "text") if "corrected_text" in blocks.columns else F.col("text")
-    rows = blocks.withColumns(columns).withColumn("text", text)
+    # Dealt out by document once, which serves the page, the match with ``pages`` and the tree.
+    rows = blocks.repartition("document_id").withColumns(columns).withColumn("text", text)
     entry = F.struct("reading_order", F.struct(*(F.col(f"_{f}").alias(f) for f in FIELDS)).alias("block"))
     nested = rows.groupBy(*PAGE).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.block).alias("blocks"), *page_sums(rows)
     )
     area = (F.col("page_width") * F.col("page_height")).alias("page_area")
     known = pages.select(*PAGE, area, F.coalesce("ocr_attempt", F.lit("original")).alias("ocr_attempt"))
-    scored = with_scores(known.join(nested, PAGE, "left"), s)
+    scored = with_scores(_matched(known, nested), s)
     low = F.coalesce(F.col("c_all") / F.col("n_blocks"), F.lit(0.0)) < s.low_page_confidence
     return scored.select(*PAGE, "ocr_attempt", "blocks", "languages", "quality_score", "confidences", low.alias("low"))
 
 
+def _matched(pages: DataFrame, sums: DataFrame) -> DataFrame:
+    """``pages`` with what ``sums`` has of them, both by page, null where it has none.
+
+    They meet by document and are taken apart again, as the tree is put together by document: so the blocks are not
+    dealt out by page in between.  A document's blocks are one row of the tree anyway.
+    """
+    own, parts = ([c for c in t.columns if c != "document_id"] for t in (pages, sums))
+    listed = pages.groupBy("document_id").agg(F.collect_list(F.struct(*own)).alias("_pages"))
+    items = F.collect_list(F.struct(*parts))
+    found = sums.groupBy("document_id").agg(items.alias("_found"), F.transform(items, lambda f: f.page_number).alias("_numbers"))
+
+    def pair(page: Column) -> Column:
+        at = (F.array_position("_numbers", page.page_number) - 1).cast("int")
+        return F.struct(page.alias("page"), F.get("_found", at).alias("sums"))
+
+    pairs = listed.join(found, "document_id", "left").select("document_id", F.explode(F.transform("_pages", pair)).alias("_pair"))
+    rest = [F.col(f"_pair.sums.{c}").alias(c) for c in parts if c != "page_number"]
+    return pairs.select("document_id", *(F.col(f"_pair.page.{c}").alias(c) for c in own), *rest)
+
+
 def document_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """One row for each document with the whole tree as columns ready for :func:`to_json`."""
     page = F.struct(

@@ -310,6 +310,18 @@ def test_means_of_halves(spark, tmp_path):
         assert sorted(map(tuple, found)) == want
 
 
+def test_tree_deals_blocks_by_document(spark, sf_dir):
+    """Lines by page for their order, then blocks by document; the other two exchanges are of pages and documents."""
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1")
+    try:
+        plan = Q.QUERIES["document_tree"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(small, before)
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_sums_follow_the_blocks(spark):
     """0.1 + 0.7 + 0.3 differs from 0.3 + 0.7 + 0.1 in the last bit: the blocks' numbers decide, however the rows come."""
     rows = [block(k, (0, 20 * k, 50, 20 * k + 9), confidence=c) for k, c in enumerate((0.1, 0.7, 0.3, None))]
